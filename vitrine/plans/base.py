@@ -3,21 +3,11 @@
 from __future__ import annotations
 
 from vitrine.operators import intervals
+from vitrine.plans.common import Plans
 from vitrine.plans.sqlbase import with_
-from vitrine.sources.domain import Domain
-
-QUERIES = {}
-ORACLES = {}
-
-
-def query(name, sql=None):
-    def register(fn):
-        QUERIES[name] = lambda spark, sf_dir: fn(Domain(spark, sf_dir))
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-    return register
 
+plans = Plans()
+query = plans.query
 
 ACT = "id, asset_id, collection_id, signature, seq, slot, block_time, kind, from_owner, to_owner, price_lamports, marketplace"
 

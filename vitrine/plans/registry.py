@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["base"]
+MODULES = ["base", "catalog", "ranking"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _name in MODULES:
-    _module = import_module(f"vitrine.plans.{_name}")
-    QUERIES.update(_module.QUERIES)
-    ORACLES.update(_module.ORACLES)
+    _plans = import_module(f"vitrine.plans.{_name}").plans
+    _twice = QUERIES.keys() & _plans.queries.keys()
+    if _twice:
+        raise ValueError(f"registered twice: {sorted(_twice)}")
+    QUERIES.update(_plans.queries)
+    ORACLES.update(_plans.oracles)

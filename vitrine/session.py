@@ -28,12 +28,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to a fresh path in the shared folder and read it back."""
+def write_table(df: DataFrame, name: str, cluster_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to a fresh path in the shared folder and read it back.
+
+    ``cluster_by`` range-partitions and sorts the rows, so that Parquet statistics prune
+    reads of one key and a huge key still fills many files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}/{name}"
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    if cluster_by:
+        df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
+    df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -55,10 +55,10 @@ class Domain:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def _landed(self, name: str, build, partition_by: list[str] | None = None) -> DataFrame:
+    def _landed(self, name: str, build, cluster_by: list[str]) -> DataFrame:
         slot = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if slot not in _LANDED:
-            _LANDED[slot] = write_table(build(), name, partition_by)
+            _LANDED[slot] = write_table(build(), name, cluster_by)
         return _LANDED[slot]
 
     # -- registry ---------------------------------------------------------
@@ -137,7 +137,7 @@ class Domain:
             return out.select(
                 *base.columns, owner.alias("owner"), F.when(owner.isNotNull(), F.col("_slot")).alias("owner_slot"),
                 F.col("_slot").alias("last_activity_slot"), F.col("_time").alias("last_activity_at"))
-        return self._landed("assets", build)
+        return self._landed("assets", build, ["collection_id", "id"])
 
     def asset_attributes(self) -> DataFrame:
         k = F.col("p_partkey")
@@ -203,10 +203,11 @@ class Domain:
                     F.when(F.col("l_returnflag") == "R", F.struct(
                         price.alias("lamports"), F.lit("buyer").alias("source"))).alias("price_candidate"))))
                 .alias("details"))
-        return self._landed("activity", build)
+        return self._landed("activity", build, ["asset_id", *EVENT_ORDER])
 
     def ownership_history(self) -> DataFrame:
-        return self._landed("ownership_history", lambda: interval_rebuild(self.activity()))
+        return self._landed(
+            "ownership_history", lambda: interval_rebuild(self.activity()), ["asset_id", "from_slot", "opened_by"])
 
     # -- deliveries -------------------------------------------------------
     def deliveries(self) -> DataFrame:
