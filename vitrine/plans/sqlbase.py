@@ -110,6 +110,24 @@ CTES: dict[str, tuple[list[str], str]] = {
         case when event_type = 'view' then cast(event_id % 12 as int) else 1 end as attempts,
         user_id, props as body
       from events"""),
+    "signatures": (["hops"], """
+      select asset_id, signature, slot, block_time, max(l_discount >= 0.095) as failed,
+        case when slot % 3 <> 0 then block_time end as classified_at
+      from hops group by 1, 2, 3, 4"""),
+    "asset_documents": ([], "select doc_id * 2 + 1 as asset_id, 'src:' || source as source_uri, text as body from documents"),
+    "observed": (["assets"], f"""
+      select address, collection_id,
+        case when k % 13 = 0 then {key("'walletmoved' || k")} when k % 17 = 0 then '' else owner end as owner,
+        burned or k % 31 = 0 as burned, metadata_uri, last_activity_slot as updated, cast(4200 as bigint) as slot
+      from (select *, id - 1 as k from assets) where k % 29 <> 0"""),
+    "stored": (["assets"], "select * from assets where (id - 1) % 19 <> 0"),
+    "run_log": ([], """
+      select k as run_id, cast(o_custkey % 26 + 1 as int) as collection_id,
+        case k % 3 when 0 then 'das_assets' when 1 then 'reconcile' else 'deep' end as kind,
+        case o_orderstatus when 'F' then 'done' when 'O' then 'failed' else 'running' end as status,
+        k * 7 % 100003 as r_slot, k % 5 as owners, k % 3 as burned, k % 2 as removed,
+        o_orderdate as started_at, case when o_orderstatus = 'F' then o_orderdate + interval 1 hour end as finished_at
+      from (select *, o_orderkey as k from orders)"""),
     "members": (["assets"], "select * from assets where membership_status = 'member'"),
     "facets": (["members", "asset_attributes", "collections"], """
       select a.* from asset_attributes a join members m on a.asset_id = m.id

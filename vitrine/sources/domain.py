@@ -209,6 +209,55 @@ class Domain:
         return self._landed(
             "ownership_history", lambda: interval_rebuild(self.activity()), ["asset_id", "from_slot", "opened_by"])
 
+    def ranked_assets(self) -> DataFrame:
+        def build():
+            from vitrine.operators.rarity import rarity_rank
+            ranks = rarity_rank(self.assets(), self.asset_attributes()).drop("collection_id").withColumnRenamed(
+                "asset_id", "id")
+            return self.assets().join(ranks, "id", "left")
+        return self._landed("ranked_assets", build, ["collection_id", "id"])
+
+    def signatures(self) -> DataFrame:
+        """Crawled signatures per asset; those of every third slot are not yet classified."""
+        raw = self.hops().groupBy("asset_id", "signature", "slot", "block_time").agg(
+            F.max(F.col("l_discount") >= 0.095).alias("failed"))
+        return raw.withColumn("classified_at", F.when(F.col("slot") % 3 != 0, F.col("block_time")))
+
+    def asset_documents(self) -> DataFrame:
+        return self.raw("documents").select(
+            (F.col("doc_id") * 2 + 1).alias("asset_id"), text("src:", F.col("source")).alias("source_uri"),
+            F.col("text").alias("body"))
+
+    # -- what a snapshot of the chain says now -------------------------------
+    def observed(self) -> DataFrame:
+        """Current state per address: some moved, some unknown, some burned, some new, some gone."""
+        k = F.col("id") - 1
+        owner = (F.when(k % 13 == 0, key(text("wallet", "moved", k))).when(k % 17 == 0, F.lit(""))
+                 .otherwise(F.col("owner")))
+        return self.assets().where(k % 29 != 0).select(
+            "address", "collection_id", owner.alias("owner"),
+            (F.col("burned") | (k % 31 == 0)).alias("burned"), "metadata_uri",
+            F.col("last_activity_slot").alias("updated"), F.lit(4200).cast("long").alias("slot"))
+
+    def stored_assets(self) -> DataFrame:
+        """The tracked assets: all but those the registry has never met."""
+        return self.assets().where((F.col("id") - 1) % 19 != 0)
+
+    # -- runs -----------------------------------------------------------------
+    def run_log(self) -> DataFrame:
+        """One run per order: which collection, which job, how it ended and its counters."""
+        k = F.col("o_orderkey")
+        status = F.when(F.col("o_orderstatus") == "F", "done").when(
+            F.col("o_orderstatus") == "O", "failed").otherwise("running")
+        return self.raw("orders").select(
+            k.alias("run_id"), (F.col("o_custkey") % 26 + 1).cast("int").alias("collection_id"),
+            F.when(k % 3 == 0, "das_assets").when(k % 3 == 1, "reconcile").otherwise("deep").alias("kind"),
+            status.alias("status"),
+            F.to_json(F.struct((k * 7 % 100003).alias("slot"), (k % 5).alias("owners"), (k % 3).alias("burned"),
+                               (k % 2).alias("removed"))).alias("progress"),
+            F.col("o_orderdate").alias("started_at"),
+            F.when(status == "done", F.col("o_orderdate") + F.expr("INTERVAL 1 HOUR")).alias("finished_at"))
+
     # -- deliveries -------------------------------------------------------
     def deliveries(self) -> DataFrame:
         """Webhook deliveries: every tenth event repeats the signature of the one before."""
