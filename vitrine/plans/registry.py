@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["base", "catalog", "ranking", "events"]
+MODULES = ["base", "catalog", "ranking", "events", "state"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
