@@ -27,8 +27,12 @@ def lookup_join(facts: DataFrame, lookup: DataFrame, keys: list[str], spread: st
     top = lookup.join(F.broadcast(heavy), keys, "left_semi")
     top = top.select(*keys, F.struct(*extra).alias("_top"))
     rest = lookup.select(*keys, F.lit(0).alias("_salt"), F.struct(*extra).alias("_rest"))
+    # a NULL key matches nothing, so those rows are spread as well
+    light = F.col("_top").isNull()
+    for k in keys:
+        light = light & F.col(k).isNotNull()
     salted = facts.join(F.broadcast(top), keys, "left").withColumn(
-        "_salt", F.when(F.col("_top").isNull(), F.lit(0))
+        "_salt", F.when(light, F.lit(0))
         .otherwise(F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int") + 1))
     out = salted.join(rest, [*keys, "_salt"], "left")
     if how == "inner":
