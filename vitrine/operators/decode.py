@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.base58 import is_create_data
-from vitrine.operators.skew import lookup_join
+from vitrine.operators.skew import HEAVY_KEYS, lookup_join, registry_join
 from vitrine.schemas import TRANSACTION
+from vitrine.session import durable
 
 # Parsed instruction names.
 TRANSFERS = ("transfer", "transferChecked")
@@ -76,7 +77,7 @@ def tx_native_deltas(tx: DataFrame) -> DataFrame:
 
 def tx_flatten_instructions(tx: DataFrame) -> DataFrame:
     """Outer instruction, then its inner ones, then the next outer one."""
-    kind = "struct<program:string,programId:string,accounts:array<string>,data:string,parsed:struct<type:string,info:map<string,string>>>"
+    kind = tx.select("message.instructions").schema[0].dataType.elementType.simpleString()
     groups = F.col("meta.innerInstructions")
     flat = F.flatten(F.transform(F.col("message.instructions"), lambda ins, i: F.concat(
         F.array(ins), _or_empty(F.flatten(F.transform(
@@ -110,17 +111,20 @@ def nft_unit_gate(tx: DataFrame) -> DataFrame:
 
 def harvest_owner_map(tx: DataFrame) -> DataFrame:
     """Token account to wallet, from balances that name the owner and from the instructions
-    that create or initialise accounts. The first statement wins, by signature and place."""
-    told = F.filter(F.concat("pre", "post"), lambda b: b["owner"].isNotNull())
-    from_balances = F.transform(told, lambda b, i: F.struct(b["account"].alias("account"), b["owner"].alias("owner"), i.alias("place")))
+    that create or initialise accounts. The first statement wins, by signature and place.
+    ``seen`` counts how often the account occurs, with or without an owner."""
+    from_balances = F.transform(F.concat("pre", "post"), lambda b, i: F.struct(
+        b["account"].alias("account"), b["owner"].alias("owner"), i.alias("place")))
     from_calls = F.transform("instructions", lambda ins, i: F.struct(
-        F.try_element_at(ins["parsed"]["info"], F.lit("account")).alias("account"),
-        F.when(ins["parsed"]["type"].isin(*CREATES), F.try_element_at(ins["parsed"]["info"], F.lit("wallet")))
-        .when(ins["parsed"]["type"].isin(*INITIALIZES), F.try_element_at(ins["parsed"]["info"], F.lit("owner"))).alias("owner"),
+        ins["parsed"]["info"]["account"].alias("account"),
+        F.when(ins["parsed"]["type"].isin(*CREATES), ins["parsed"]["info"]["wallet"])
+        .when(ins["parsed"]["type"].isin(*INITIALIZES), ins["parsed"]["info"]["owner"]).alias("owner"),
         (i + F.lit(1_000_000)).alias("place")))
-    said = tx.select("signature", F.inline(F.concat(from_balances, from_calls))).where(
-        F.col("account").isNotNull() & F.col("owner").isNotNull())
-    return said.groupBy("account").agg(F.min_by("owner", F.struct("signature", "place")).alias("owner"))
+    from_calls = F.filter(from_calls, lambda s: s["owner"].isNotNull())
+    said = tx.select("signature", F.inline(F.concat(from_balances, from_calls))).where(F.col("account").isNotNull())
+    told = F.when(F.col("owner").isNotNull(), F.struct("signature", "place"))
+    return said.groupBy("account").agg(
+        F.min_by("owner", told).alias("owner"), F.count(F.lit(1)).alias("seen")).where(F.col("owner").isNotNull())
 
 
 def mint_token_accounts(tx: DataFrame) -> DataFrame:
@@ -137,12 +141,14 @@ CARRIED = ["fee", "fee_payer", "programs", "native_deltas", "token_accounts"]
 
 def _token_calls(tx: DataFrame) -> DataFrame:
     """Token instructions that move, burn or mint one unit, before owners are filled in."""
-    calls = tx.where(~F.col("failed")).select(
-        "signature", "slot", "block_seconds", *CARRIED, "pre", "post",
-        F.posexplode("instructions").alias("pos", "ins"))
-    calls = calls.where(F.col("ins.parsed.type").isin(*TRANSFERS, *BURNS, *MINTS))
-    name = F.col("ins.parsed.type")
-    arg = lambda key: F.try_element_at(F.col("ins.parsed.info"), F.lit(key))
+    unit = F.exists("pre", lambda b: b["unit"]) | F.exists("post", lambda b: b["unit"])
+    named = F.transform("instructions", lambda ins, i: F.struct(i.alias("pos"), ins["parsed"].alias("parsed")))
+    # kept inside the array until here, so that the carried columns are copied only for these
+    named = F.filter(named, lambda x: x["parsed"]["type"].isin(*TRANSFERS, *BURNS, *MINTS))
+    calls = tx.where(~F.col("failed") & unit).select(
+        "signature", "slot", "block_seconds", *CARRIED, "pre", "post", F.inline(named))
+    name = F.col("parsed.type")
+    arg = lambda key: F.col(f"parsed.info.{key}")
     kind = F.when(name.isin(*TRANSFERS), "transfer").when(name.isin(*BURNS), "burn").otherwise("mint")
     calls = calls.withColumn("kind", kind)
     given = F.when(F.col("kind") == "transfer", _last("pre", arg("source"))).when(
@@ -159,16 +165,21 @@ def _token_calls(tx: DataFrame) -> DataFrame:
 
 
 def owner_map_join(calls: DataFrame, owner_map: DataFrame, account: str, owner: str) -> DataFrame:
-    """Fill a missing owner from the harvested map."""
+    """Fill a missing owner from the harvested map. The accounts that occur most are the
+    heavy keys, so the calls need not be counted first."""
     known = owner_map.select(F.col("account").alias("_account"), F.col("owner").alias("_owner"))
+    heavy = owner_map.orderBy(F.desc("seen"), "account").limit(HEAVY_KEYS).select(F.col("account").alias("_account"))
     asked = calls.withColumn("_account", F.when(F.col(owner).isNull(), F.col(account)))
-    joined = lookup_join(asked, known, ["_account"], spread="signature")
+    joined = lookup_join(asked, known, ["_account"], spread="signature", heavy=heavy)
     return joined.withColumn(owner, F.coalesce(owner, "_owner")).drop("_account", "_owner")
 
 
 def token_calls_with_owners(tx: DataFrame, owner_map: DataFrame) -> DataFrame:
-    calls = owner_map_join(_token_calls(tx), owner_map, "_given", "from_owner")
-    calls = owner_map_join(calls, owner_map, "_taken", "to_owner").drop("_given", "_taken")
+    """Only transactions with a balance that lacks its owner (old ones) meet the map."""
+    lacks = F.exists("pre", lambda b: b["owner"].isNull()) | F.exists("post", lambda b: b["owner"].isNull())
+    filled = owner_map_join(_token_calls(tx.where(lacks)), owner_map, "_given", "from_owner")
+    filled = owner_map_join(filled, owner_map, "_taken", "to_owner")
+    calls = _token_calls(tx.where(~lacks)).unionByName(filled).drop("_given", "_taken")
     burn = F.col("kind") == "burn"
     # a receiver is required, and a move inside one wallet is none
     real = burn | (F.col("to_owner").isNotNull() & ~F.coalesce(
@@ -178,17 +189,20 @@ def token_calls_with_owners(tx: DataFrame, owner_map: DataFrame) -> DataFrame:
 
 def core_calls(tx: DataFrame, collections: DataFrame) -> DataFrame:
     """Instructions that open with (asset, registered core collection), decoded or not."""
+    placed = F.transform("instructions", lambda ins, i: F.struct(
+        i.alias("pos"), ins["programId"].alias("program_id"), ins["data"].alias("data"),
+        F.filter(ins["accounts"], lambda a: a.isNotNull()).alias("accounts")))
+    placed = F.filter(placed, lambda x: F.coalesce(F.size(x["accounts"]), F.lit(-1)) >= 2)
     calls = tx.where(~F.col("failed")).select(
-        "signature", "slot", "block_seconds", *CARRIED, F.posexplode("instructions").alias("pos", "ins"))
-    accounts = F.filter(F.col("ins.accounts"), lambda a: a.isNotNull())
-    calls = calls.withColumn("accounts", accounts).where(F.size("accounts") >= 2).withColumn(
+        "signature", "slot", "block_seconds", *CARRIED, F.inline(placed)).withColumn(
         "address", F.get("accounts", F.lit(0))).withColumn("collection", F.get("accounts", F.lit(1)))
     core = collections.where(F.col("standard") == "core").select(
         F.col("address").alias("collection"), F.col("id").alias("collection_id"), "program").where(
         F.col("collection").isNotNull())
-    named = calls.join(core, "collection").where(F.col("address") != F.col("collection"))
-    n, data = F.size("accounts"), F.col("ins.data")
-    ours = F.col("ins.programId") == F.col("program")
+    named = registry_join(calls, core, ["collection"], spread="signature", how="inner").where(
+        F.col("address") != F.col("collection"))
+    n, data = F.size("accounts"), F.col("data")
+    ours = F.col("program_id") == F.col("program")
     receiver = F.get("accounts", F.lit(4))
     receiver = F.when(receiver != F.col("program"), receiver)
     create = F.when(ours & (n >= 8) & ~data.isin(CORE_TRANSFER, CORE_BURN), data)
@@ -220,16 +234,18 @@ def event_seq(events: DataFrame) -> DataFrame:
 
 
 def decode_token_events(tx: DataFrame, owner_map: DataFrame | None = None) -> DataFrame:
-    owner_map = harvest_owner_map(tx) if owner_map is None else owner_map
-    return event_seq(token_calls_with_owners(tx, owner_map))
+    return event_seq(token_calls_with_owners(tx, owner_map or durable(harvest_owner_map(tx))))
+
+
+def ownership_calls(tx: DataFrame, collections: DataFrame, owner_map: DataFrame | None = None) -> DataFrame:
+    """Token and core calls that change an owner, with the facts needed to price them."""
+    token = token_calls_with_owners(tx, owner_map or durable(harvest_owner_map(tx)))
+    return token.unionByName(decode_core_events(core_calls(tx, collections)))
 
 
 def decode_events(tx: DataFrame, collections: DataFrame, owner_map: DataFrame | None = None) -> DataFrame:
     """Token and core events of all transactions, numbered together."""
-    owner_map = harvest_owner_map(tx) if owner_map is None else owner_map
-    token = token_calls_with_owners(tx, owner_map)
-    core = decode_core_events(core_calls(tx, collections))
-    return event_seq(token.unionByName(core))
+    return event_seq(ownership_calls(tx, collections, owner_map).drop(*CARRIED))
 
 
 def tx_block_time(tx: DataFrame, slot_times: DataFrame) -> DataFrame:
@@ -261,8 +277,6 @@ def crawl_frontier(tx: DataFrame, assets: DataFrame, settled, rounds: int = 3) -
     """Transactions that concern each asset, found in rounds over the landed transactions:
     first those that name the asset, then those that name a token account of it, for assets
     that ``settled(signatures)`` does not return. ``assets``: (address)."""
-    from vitrine.session import durable
-
     names = tx.select("signature", F.explode("keys").alias("account")).distinct()
     holders = tx.select("signature", F.inline(F.concat("pre", "post"))).select(
         "signature", F.col("mint").alias("address"), "account").distinct()

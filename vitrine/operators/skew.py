@@ -40,3 +40,15 @@ def lookup_join(facts: DataFrame, lookup: DataFrame, keys: list[str], spread: st
     return out.select(
         *facts.columns,
         *[F.coalesce(F.col(f"_top.{c}"), F.col(f"_rest.{c}")).alias(c) for c in extra])
+
+
+# A registry up to this many rows is broadcast whole.
+REGISTRY_ROWS = 50_000
+
+
+def registry_join(facts: DataFrame, registry: DataFrame, keys: list[str], spread: str, how: str = "left") -> DataFrame:
+    """``facts`` joined to a stored registry with one row per key: broadcast when its size,
+    which is counted, allows; otherwise the skew-safe lookup."""
+    if registry.limit(REGISTRY_ROWS + 1).count() <= REGISTRY_ROWS:
+        return facts.join(F.broadcast(registry), keys, how)
+    return lookup_join(facts, registry, keys, spread, how)

@@ -57,7 +57,7 @@ sqlbase.CTES["core_calls"] = (["tx", "collections"], f"""
 
 def facts(d):
     """Decoded facts, landed once as the job does."""
-    return d._landed("tx_facts", lambda: decode.facts(transactions(d)), ["signature"])
+    return d._landed("tx_facts", lambda: decode.facts(transactions(d)))
 
 
 @query("land_transactions", with_("tx", """
@@ -136,7 +136,7 @@ def _(d):
 
 @query("harvest_owner_map", with_("ownermap", "select account, owner from ownermap"))
 def _(d):
-    return decode.harvest_owner_map(facts(d))
+    return decode.harvest_owner_map(facts(d)).drop("seen")
 
 
 @query("mint_token_accounts", with_("tx", f"""
@@ -261,6 +261,6 @@ def _(d):
   union all select signature, mint, 0, kind, null, case when kind <> 'burn' then buyer end, null, null from core_calls
     where kind is not null""", priced=PRICES))
 def _(d):
-    events = decode.decode_events(facts(d), d.collections())
-    return classify.classify_events(events, d.venues()).select(
+    calls = decode.ownership_calls(facts(d), d.collections())
+    return classify.classify_events(calls, facts(d), d.venues()).select(
         "signature", "address", "seq", "kind", "from_owner", "to_owner", "price_lamports", "marketplace")

@@ -193,11 +193,11 @@ def _(d):
     return stats.top_holders(d.collections(), d.assets(), 13, 10)
 
 
-WALLET_SQL = key("'wallet7'")
+WALLET_SQL = key("'wallet55'")
 
 
 def a_wallet(d):
-    return spark_key(text("wallet", F.lit(7)))
+    return spark_key(text("wallet", F.lit(55)))
 
 
 @query("wallet_holder_ranks", with_(S, f"select * from ranks where address = {WALLET_SQL}", held=HELD, ranks=RANKED))

@@ -510,6 +510,14 @@ def _(d):
     return runs.run_totals(d.run_log(), ["owners", "burned", "removed"])
 
 
+@query("corrections", with_("run_log", """
+  select collection_id, cast(sum(owners + burned + removed) as bigint) as corrections from run_log
+  where kind = 'reconcile' group by 1"""))
+def _(d):
+    totals = runs.run_totals(d.run_log(), ["owners", "burned", "removed"])
+    return totals.where(F.col("kind") == "reconcile").select("collection_id", "corrections")
+
+
 @query("last_finished", with_("run_log collections", """
   select min(l.finished_at) as last_finished from collections c left join latest l
     on l.collection_id = c.id and l.kind = 'reconcile' where c.enabled""", latest=LATEST))

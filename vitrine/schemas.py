@@ -1,7 +1,8 @@
 """Schemas of the raw inputs. Unknown keys drop, missing keys are NULL; nothing is inferred."""
 
 _INSTRUCTION = ("STRUCT<program: STRING, programId: STRING, accounts: ARRAY<STRING>, data: STRING, "
-                "parsed: STRUCT<type: STRING, info: MAP<STRING, STRING>>>")
+                "parsed: STRUCT<type: STRING, info: STRUCT<source: STRING, destination: STRING, account: STRING, "
+                "wallet: STRING, owner: STRING>>>")
 _BALANCE = ("STRUCT<accountIndex: INT, mint: STRING, owner: STRING, "
             "uiTokenAmount: STRUCT<amount: STRING, decimals: INT>>")
 _MESSAGE = f"STRUCT<accountKeys: ARRAY<STRING>, instructions: ARRAY<{_INSTRUCTION}>>"

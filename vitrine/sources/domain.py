@@ -55,7 +55,7 @@ class Domain:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def _landed(self, name: str, build, cluster_by: list[str]) -> DataFrame:
+    def _landed(self, name: str, build, cluster_by: list[str] | None = None) -> DataFrame:
         slot = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if slot not in _LANDED:
             _LANDED[slot] = write_table(build(), name, cluster_by)
@@ -177,6 +177,8 @@ class Domain:
                 "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice"])) - 1
             hops = self.hops().withColumn("seq", in_tx).withColumn(
                 "id", hash_id(text(F.col("signature"), ":", F.col("asset_id"), ":", F.col("seq"))))
+            # the scan reads its input more than once
+            hops = write_table(hops, "hops")
             chained = scan(hops, ["asset_id"], EVENT_ORDER, {
                 "prev_owner": lag(F.col("receiver")), "prev_id": lag(F.col("id")), "next_id": lead(F.col("id"))})
             k = F.col("asset_id") - 1

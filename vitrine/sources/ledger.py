@@ -47,7 +47,7 @@ def ledger(d: Domain) -> DataFrame:
 
 def transactions(d: Domain) -> DataFrame:
     """(signature, slot, body) as received."""
-    return d._landed("transactions", lambda: _bodies(ledger(d)), ["signature"])
+    return d._landed("transactions", lambda: _bodies(ledger(d)))
 
 
 def _bodies(rows: DataFrame) -> DataFrame:
