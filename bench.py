@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "facet_counts", "facet_disjunctive", "facet_disjunctive_text", "filtered_total", "browse_page", "search_grouped",
     "collection_stats", "holder_rank", "rarity_score", "rarity_rank", "interval_rebuild", "chain_derive", "owner_asof",
-    "last_activity", "integrity_owner_mismatch", "decode_token_events", "classify_events", "upsert_assets",
+    "last_activity", "integrity_owner_mismatch", "upsert_assets",
 ]
 
 
@@ -33,7 +33,6 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
 
     from vitrine.plans.registry import QUERIES
-    from vitrine.plans.ledger import facts
     from vitrine.sources.domain import Domain
 
     def run(name: str) -> float:
@@ -43,7 +42,7 @@ def main() -> None:
 
     start = time.perf_counter()
     d = Domain(spark, sf_dir)
-    for table in (d.activity, d.assets, d.ownership_history, lambda: facts(d)):
+    for table in (d.activity, d.assets, d.ownership_history):
         table()
     landing = time.perf_counter() - start
     times = {}

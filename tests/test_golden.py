@@ -26,7 +26,7 @@ def spans(df):
 
 
 def test_token_number(spark):
-    cases = {"#7687": 7687, "Pig Mud #348": 348, "no number": None, "#12345678901": None, "": None}
+    cases = {"#7687": 7687, "Red Fox #348": 348, "no number": None, "#12345678901": None, "": None}
     df = spark.createDataFrame([(c,) for c in cases], "n STRING").select("n", token_number(F.col("n")).alias("t"))
     assert {r.n: r.t for r in df.collect()} == cases
 
@@ -81,7 +81,7 @@ ASSET = "id BIGINT, address STRING, collection_id INT, membership_status STRING,
 
 
 def assets(spark, n, **over):
-    rows = [(i, key(i), 1, "member", f"Pig #{i}", i, False, None) for i in range(1, n + 1)]
+    rows = [(i, key(i), 1, "member", f"Fox #{i}", i, False, None) for i in range(1, n + 1)]
     return spark.createDataFrame(rows, ASSET)
 
 
@@ -133,7 +133,7 @@ def test_holder_rank(spark):
 
 
 def test_literal_percent(spark):
-    rows = [(1, key(1), 1, "member", "100% Piggy", 1, False, None), (2, key(2), 1, "member", "1000 Piggy", 2, False, None)]
+    rows = [(1, key(1), 1, "member", "100% Foxy", 1, False, None), (2, key(2), 1, "member", "1000 Foxy", 2, False, None)]
     a = spark.createDataFrame(rows, ASSET)
     c = spark.createDataFrame([(1, "one", True)], "id INT, slug STRING, enabled BOOLEAN")
     assert [r.id for r in browse.search_grouped(c, a, text="100%").collect()] == [1]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions.scalar import PUBLIC_KINDS
-from vitrine.operators.ordered import last_before, lead, max_before, scan
+from vitrine.operators.ordered import key_sizes, last_before, lead, max_before, scan
 
 EVENT_ORDER = ["slot", "seq", "id"]
 MAX_SLOT = (1 << 63) - 1
@@ -50,7 +50,8 @@ def owner_asof(history: DataFrame, points: DataFrame) -> DataFrame:
     asked = points.select("asset_id", "slot").distinct().select(
         "asset_id", "slot", F.lit(1).alias("asked"), F.lit(0).cast("long").alias("tie"),
         F.lit(None).cast(starts.schema["span"].dataType).alias("span"))
+    sizes = key_sizes(history.select("asset_id").unionByName(points.select("asset_id")), ["asset_id"])
     out = scan(starts.unionByName(asked), ["asset_id"], ["slot", "asked", "tie"],
-               {"held": last_before(F.col("span"))}).where(F.col("asked") == 1)
+               {"held": last_before(F.col("span"))}, sizes=sizes).where(F.col("asked") == 1)
     live = F.col("slot") < F.coalesce("held.to_slot", F.lit(MAX_SLOT))
     return out.select("asset_id", "slot", F.when(live, F.col("held.owner")).alias("owner"))

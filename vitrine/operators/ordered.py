@@ -100,13 +100,20 @@ def lead(value: Column) -> Step:
     )
 
 
+def key_sizes(df: DataFrame, by: list[str]) -> DataFrame:
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+
+
 def scan(df: DataFrame, by: list[str], order: list[str], steps: dict[str, Step],
-         hot_rows: int | None = None) -> DataFrame:
+         hot_rows: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """Add one column per step, computed over the rows of each ``by`` key in ``order``.
 
-    ``order`` names columns, ascending, without NULLs and without ties inside a key."""
+    ``order`` names columns, ascending, without NULLs and without ties inside a key.
+    ``sizes``: (by, _n), at least the rows of each key, where that is cheaper to learn than
+    by counting ``df``."""
     limit = hot_rows or int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS)))
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    if sizes is None:
+        sizes = key_sizes(df, by)
     total, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
     if largest is None or largest <= limit:
         return _plain(df, by, order, steps)

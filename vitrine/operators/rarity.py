@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.operators.facets import facet_types
-from vitrine.operators.ordered import row_number, scan
+from vitrine.operators.ordered import key_sizes, row_number, scan
 from vitrine.operators.predicates import population
 from vitrine.operators.skew import HEAVY_KEYS, lookup_join
+from vitrine.session import durable
 
 CELL = ["collection_id", "trait_type", "value"]
 
@@ -32,7 +33,7 @@ def _facets(members: DataFrame, attributes: DataFrame) -> DataFrame:
 def _freq(assets: DataFrame, attributes: DataFrame) -> DataFrame:
     """Members per cell, the absent value as NULL, next to the collection's size."""
     members = _members(assets)
-    facets = _facets(members, attributes)
+    facets = durable(_facets(members, attributes))
     types = _type_totals(members, facets, attributes)
     present = facets.groupBy(*CELL).agg(F.count(F.lit(1)).alias("carriers")).join(
         types.select("collection_id", "trait_type", "n"), ["collection_id", "trait_type"])
@@ -62,15 +63,17 @@ def rarity_score(assets: DataFrame, attributes: DataFrame) -> DataFrame:
     No member x type matrix is built: each collection's sum of absent-value terms is
     granted to every member, less the terms of the types the member does have."""
     members = _members(assets)
-    facets = _facets(members, attributes)
-    types = _type_totals(members, facets, attributes).withColumn(
+    # read by five aggregates and joins below, and itself a large join
+    facets = durable(_facets(members, attributes))
+    types = durable(_type_totals(members, facets, attributes).withColumn(
         "absent_term", F.when(F.col("absent") > 0, _share(F.col("n"), F.col("absent"))).otherwise(
-            F.lit(0).cast("decimal(38,12)")))
+            F.lit(0).cast("decimal(38,12)"))))
     freq = facets.groupBy(*CELL).agg(F.count(F.lit(1)).alias("carriers"))
-    terms = freq.join(types, ["collection_id", "trait_type"]).select(
-        *CELL, "carriers", _share(F.col("n"), F.col("carriers")).alias("term"), "absent_term")
-    heavy = freq.orderBy(F.desc("carriers"), *CELL).limit(HEAVY_KEYS).select(*CELL)
-    cells = lookup_join(facets, terms, CELL, spread="asset_id", heavy=heavy)
+    # one row per distinct value, read as heavy keys, as their terms and as all other terms
+    terms = durable(freq.join(types, ["collection_id", "trait_type"]).select(
+        *CELL, "carriers", _share(F.col("n"), F.col("carriers")).alias("term"), "absent_term"))
+    heavy = terms.orderBy(F.desc("carriers"), *CELL).limit(HEAVY_KEYS).select(*CELL)
+    cells = lookup_join(facets, terms.drop("carriers"), CELL, spread="asset_id", heavy=heavy)
     own = cells.groupBy("asset_id", "trait_type").agg(
         F.sum("term").alias("term"), F.max("absent_term").alias("absent_term"))
     own = own.groupBy("asset_id").agg(F.sum(F.col("term") - F.col("absent_term")).alias("own"))
@@ -83,7 +86,9 @@ def rarity_score(assets: DataFrame, attributes: DataFrame) -> DataFrame:
 def rarity_rank(assets: DataFrame, attributes: DataFrame) -> DataFrame:
     """Exact ranks 1..N per collection, highest score first, ties by asset id."""
     scored = rarity_score(assets, attributes).withColumn("_low", -F.col("score"))
-    ranked = scan(scored, ["collection_id"], ["_low", "asset_id"], {"rank": row_number()})
+    # the members bound each collection's rows without computing any score
+    sizes = key_sizes(_members(assets), ["collection_id"])
+    ranked = scan(scored, ["collection_id"], ["_low", "asset_id"], {"rank": row_number()}, sizes=sizes)
     return ranked.select("asset_id", "collection_id", F.col("score").cast("double").alias("rarity_score"),
                          F.col("rank").cast("int").alias("rarity_rank"))
 

@@ -75,7 +75,7 @@ def last_finished(collections: DataFrame, latest: DataFrame, kind: str) -> DataF
 
 def backfilled_slot(runs: DataFrame) -> DataFrame:
     slot = F.get_json_object("progress", "$.slot").cast("long")
-    return runs.where(F.col("kind") == "das_assets").agg(F.max(slot).alias("slot"))
+    return runs.where(F.col("kind") == "assets").agg(F.max(slot).alias("slot"))
 
 
 def latency_percentiles(samples: DataFrame, by: str, ms: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vitrine.functions.scalar import asset_image, document_image, observed_owner
 from vitrine.operators import merge
 from vitrine.schemas import DOCUMENT, SNAPSHOT
+from vitrine.session import durable
 
 # Fixed value: the largest stored attribute position.
 MAX_POSITION = 32767
@@ -97,8 +98,9 @@ def snapshot_job(stored: DataFrame, stored_attributes: DataFrame, snapshots: Dat
     the listing of each collection says. Assets whose attributes were not observed keep them.
 
     Returns the new asset and attribute snapshots and the counts for the run log."""
-    merged = snapshot_merge(snapshots, documents).join(homes, "address").withColumn(
-        "owner_slot", F.lit(slot).cast("long")).withColumn("ord", F.lit(0))
+    # parsed once, read by the asset and the attribute side
+    merged = durable(snapshot_merge(snapshots, documents).join(homes, "address").withColumn(
+        "owner_slot", F.lit(slot).cast("long")).withColumn("ord", F.lit(0)))
     assets = merge.upsert_assets(stored, merged.drop("attributes"))
     # an address stored under another collection is skipped whole, its attributes too
     accepted = assets.where(~F.col("action").isin("invalid", "skipped_foreign", "kept")).select("address")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.operators.ordered import running_sum, scan
 from vitrine.operators.predicates import enabled_gate, keyset_after, population
-from vitrine.operators.skew import lookup_join
+from vitrine.operators.skew import HEAVY_KEYS, lookup_join
 
 # Holder cohorts as (label, lowest, highest or None).
 BUCKETS = (("1", 1, 1), ("2-5", 2, 5), ("6-20", 6, 20), ("21+", 21, None))
@@ -70,11 +69,11 @@ def holder_rank(collections: DataFrame, assets: DataFrame) -> DataFrame:
     A rank is one more than the number of holders with more, so only the histogram of
     holdings is ordered: a collection of n assets has under sqrt(2n) + 1 distinct holdings."""
     owners = enabled_gate(held_per_owner(assets), collections)
-    histogram = owners.groupBy("collection_id", "held").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "_less", -F.col("held"))
-    upto = scan(histogram, ["collection_id"], ["_less"], {"upto": running_sum(F.col("n"))})
-    ranks = upto.select("collection_id", "held", (F.col("upto") - F.col("n") + 1).alias("rank"))
-    return lookup_join(owners, ranks, ["collection_id", "held"], spread="owner").select(
+    histogram = owners.groupBy("collection_id", "held").agg(F.count(F.lit(1)).alias("n"))
+    more = Window.partitionBy("collection_id").orderBy(F.desc("held"))
+    ranks = histogram.select("collection_id", "held", (F.sum("n").over(more) - F.col("n") + 1).alias("rank"))
+    heavy = histogram.orderBy(F.desc("n"), "collection_id", "held").limit(HEAVY_KEYS).select("collection_id", "held")
+    return lookup_join(owners, ranks, ["collection_id", "held"], spread="owner", heavy=heavy).select(
         "collection_id", F.col("owner").alias("address"), F.col("held").alias("count"), "rank")
 
 

@@ -123,7 +123,7 @@ CTES: dict[str, tuple[list[str], str]] = {
     "stored": (["assets"], "select * from assets where (id - 1) % 19 <> 0"),
     "run_log": ([], """
       select k as run_id, cast(o_custkey % 26 + 1 as int) as collection_id,
-        case k % 3 when 0 then 'das_assets' when 1 then 'reconcile' else 'deep' end as kind,
+        case k % 3 when 0 then 'assets' when 1 then 'reconcile' else 'deep' end as kind,
         case o_orderstatus when 'F' then 'done' when 'O' then 'failed' else 'running' end as status,
         k * 7 % 100003 as r_slot, k % 5 as owners, k % 3 as burned, k % 2 as removed,
         o_orderdate as started_at, case when o_orderstatus = 'F' then o_orderdate + interval 1 hour end as finished_at

@@ -525,7 +525,7 @@ def _(d):
     return runs.last_finished(d.collections(), merge.run_log_upsert(d.run_log()), "reconcile")
 
 
-@query("backfilled_slot", with_("run_log", "select max(r_slot) as slot from run_log where kind = 'das_assets'"))
+@query("backfilled_slot", with_("run_log", "select max(r_slot) as slot from run_log where kind = 'assets'"))
 def _(d):
     return runs.backfilled_slot(d.run_log())
 

@@ -253,7 +253,7 @@ class Domain:
             F.col("o_orderstatus") == "O", "failed").otherwise("running")
         return self.raw("orders").select(
             k.alias("run_id"), (F.col("o_custkey") % 26 + 1).cast("int").alias("collection_id"),
-            F.when(k % 3 == 0, "das_assets").when(k % 3 == 1, "reconcile").otherwise("deep").alias("kind"),
+            F.when(k % 3 == 0, "assets").when(k % 3 == 1, "reconcile").otherwise("deep").alias("kind"),
             status.alias("status"),
             F.to_json(F.struct((k * 7 % 100003).alias("slot"), (k % 5).alias("owners"), (k % 3).alias("burned"),
                                (k % 2).alias("removed"))).alias("progress"),

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from vitrine.sources.domain import Domain, key, signature, text, wallet
 
 # base58 of a well-formed creation, a truncated one, and some other call.
-CREATE_DATA = "3UF3LPQ3DEHHMWRHL135hq"
-BAD_CREATE_DATA = "FmPkmaoqJXj4"
+CREATE_DATA = "3UF3LPQ3CfmoecgrEngY4o"
+BAD_CREATE_DATA = "FmPkmaoqFBNX"
 OTHER_DATA = "63JR"
 FEE = 5_000
 RENT = 2_039_280
