@@ -63,6 +63,9 @@ class Domain:
 
     # -- registry ---------------------------------------------------------
     def collections(self) -> DataFrame:
+        return self._landed("collections", self._collections)
+
+    def _collections(self) -> DataFrame:
         n = F.col("id")
         brands = self.raw("part").select("p_brand").distinct().select(
             F.regexp_extract("p_brand", r"(\d+)", 1).cast("int").alias("id"), F.col("p_brand").alias("name"))
@@ -140,6 +143,9 @@ class Domain:
         return self._landed("assets", build, ["collection_id", "id"])
 
     def asset_attributes(self) -> DataFrame:
+        return self._landed("asset_attributes", self._attributes, ["collection_id", "asset_id", "position"])
+
+    def _attributes(self) -> DataFrame:
         k = F.col("p_partkey")
         words = F.split("p_name", " ")
         value = {
