@@ -67,3 +67,17 @@ def test_registry_join_beyond_its_size(spark, monkeypatch):
     registry = spark.createDataFrame([(k, f"v{k}") for k in range(5)], "k INT, v STRING")
     got = skew.registry_join(facts, registry, ["k"], spread="id", how="inner")
     assert got.count() == 50
+
+
+@pytest.mark.parametrize("name", ["interval_rebuild", "chain_derive", "interval_overlap", "owner_asof"])
+def test_queries_with_every_asset_hot(spark, name):
+    from tests.check_queries import compare, connect
+    from vitrine.plans.registry import ORACLES, QUERIES
+
+    sf_dir = "/root/testdata/sf0.001"
+    spark.conf.set(ordered.HOT_ROWS_CONF, "25")
+    try:
+        verdict = compare(spark, connect(sf_dir), name, QUERIES[name], ORACLES[name], sf_dir)
+    finally:
+        spark.conf.unset(ordered.HOT_ROWS_CONF)
+    assert verdict.startswith("ok"), verdict
