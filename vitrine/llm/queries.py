@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import mixing, packing, simhash, substring
+from vitrine.llm import mixing, packing, quality, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,26 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_mixing")
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def fold(doc_id: str = "doc_id") -> Column:
+    """0 to 3; rows of fold 2 are held out."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
+
+
+def fit_labels(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """(doc_id, label) of the rows that models may learn from."""
+    rows = table(spark, sf_dir, "labels").where(F.col("doc_id").isNotNull() & (fold() != 2))
+    return rows.select("doc_id", F.col(label).alias("label"))
+
+
+def scored(rows: DataFrame, threshold: float) -> DataFrame:
+    return rows.select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "score",
+                       (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_quality(docs, fit_labels(spark, sf_dir, "quality"))
+    return scored(quality.score_quality(docs, model), 0.7)
