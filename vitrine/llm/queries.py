@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import mixing, packing, quality, simhash, substring
+from vitrine.llm import mixing, packing, quality, simhash, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit_quality(docs, fit_labels(spark, sf_dir, "quality"))
     return scored(quality.score_quality(docs, model), 0.7)
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, fit_labels(spark, sf_dir, "toxic"))
+    return scored(toxicity.score_toxicity(docs, model), 0.3)
