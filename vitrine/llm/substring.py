@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.text import Slice, grams, slices
+from vitrine.llm.text import Slice, grams, mix, slices
 
 WINDOW = 13
 GRAM = 5
@@ -51,8 +51,16 @@ def _anchors(s: Slice, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return row[first], first, np.diff(np.append(new, len(at))), anchor[first]
 
 
+def _distinct(row: np.ndarray, *hashes: np.ndarray) -> np.ndarray:
+    """Indices, ascending, of the first of each (row, hashes)."""
+    key = row.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+    for h in hashes:
+        key = mix(key ^ h) * np.uint64(_WINDOW_BASE)
+    return np.sort(np.unique(key, return_index=True)[1])
+
+
 def _seeds(window: int):
-    """(doc_id, text) to one row per document and anchor: anchor hash, document, anchor's word."""
+    """(doc_id, text) to one row per document and anchor: anchor hash, document, the anchor's first word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
@@ -61,6 +69,8 @@ def _seeds(window: int):
                 if not len(row):
                     continue
                 h = grams(s.hashes(0), GRAM, _GRAM_BASE)[anchor]
+                once = _distinct(row, h)
+                row, h, anchor = row[once], h[once], anchor[once]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h.view(np.int64)), pa.array(ids[s.first + row]),
                      pa.array((anchor - s.bounds[row]).astype(np.int32))], ["h", "doc_id", "at"])
@@ -68,10 +78,11 @@ def _seeds(window: int):
 
 
 def _extend(window: int):
-    """(doc_id, text, version, seeds) to the windows around each seed: anchor hash, document, its
-    version, first window, and the windows' hashes."""
+    """(doc_id, text, version, seeds) to the windows around each seed: anchor hash, document, its version, first
+    window, and the windows' hashes. A document tells the same windows around the same anchor once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(b.column(3).is_valid())
             ids, versions = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             seed_bounds = b.column(3).offsets.to_numpy()
             seeds = b.column(3).values.to_numpy(zero_copy_only=False)
@@ -80,22 +91,30 @@ def _extend(window: int):
                 if not len(row):
                     continue
                 bounds = s.bounds
+                g = grams(s.hashes(0), GRAM, _GRAM_BASE)
                 rows = np.arange(s.first, s.first + len(s.counts))
                 begin, end = seed_bounds[rows], seed_bounds[rows + 1]
-                wanted = np.zeros(len(s.starts), bool)
-                at = seeds[begin[0]: end[-1]] + np.repeat(bounds[:-1], end - begin)
-                inside = seeds[begin[0]: end[-1]] < np.repeat(s.counts, end - begin)
-                wanted[at[inside]] = True
-                use = wanted[anchor]
-                row, first, count, anchor = row[use], first[use], count[use], anchor[use]
+                inside = seeds[begin[0]: end[-1]] < np.repeat(s.counts - GRAM + 1, end - begin)
+                of = np.repeat(np.arange(len(rows)), end - begin)[inside]
+                wanted = g[seeds[begin[0]: end[-1]][inside] + bounds[of]]
+                use = np.isin(mix(g[anchor] ^ mix(row.astype(np.uint64))), mix(wanted ^ mix(of.astype(np.uint64))))
+                row, first, count, h = row[use], first[use], count[use], g[anchor[use]]
                 if not len(row):
                     continue
-                h = grams(s.hashes(0), GRAM, _GRAM_BASE)[anchor]
                 w = grams(s.hashes(1), window, _WINDOW_BASE)
-                ends = np.cumsum(count)
-                picked = w[np.repeat(first - (ends - count), count) + np.arange(ends[-1])]
-                offsets = np.concatenate([[0], ends * 8]).astype(np.int32)
-                packed = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(offsets), pa.py_buffer(picked)])
+
+                def picked() -> tuple[np.ndarray, np.ndarray]:
+                    ends = np.cumsum(count)
+                    within = np.arange(ends[-1]) - np.repeat(ends - count, count)
+                    return w[np.repeat(first, count) + within], within
+
+                windows, within = picked()
+                block = np.add.reduceat(mix(windows + within.astype(np.uint64)), np.cumsum(count) - count)
+                once = _distinct(row, h, block)
+                row, first, count, h = row[once], first[once], count[once], h[once]
+                windows, _ = picked()
+                offsets = np.concatenate([[0], np.cumsum(count) * 8]).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(offsets), pa.py_buffer(windows)])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h.view(np.int64)), pa.array(ids[s.first + row]), pa.array(versions[s.first + row]),
                      pa.array((first - bounds[row]).astype(np.int32)), packed],
@@ -170,6 +189,7 @@ def _cut(window: int, layout: bool):
             for s in slices(b.column(1)):
                 bounds = s.bounds
                 data = s.data.tobytes()
+                w = grams(s.hashes(1), window, _WINDOW_BASE)
                 for r in range(len(s.counts)):
                     i = s.first + r
                     n = int(s.counts[r])
@@ -181,12 +201,14 @@ def _cut(window: int, layout: bool):
                         own = found.field(0).to_numpy(zero_copy_only=False) == b.column(2)[i].as_py()
                         first = found.field(1).to_numpy(zero_copy_only=False)[own].astype(np.int64)
                         mask = found.field(2).to_numpy(zero_copy_only=False)[own]
-                        steps = np.zeros(n + 1, np.int64)
-                        for bit in range(window - GRAM + 1):
-                            at = first[(mask >> bit & 1).astype(bool)] + bit
-                            np.add.at(steps, at, 1)
-                            np.add.at(steps, at + window, -1)
-                        covered = np.cumsum(steps[:n]) > 0
+                        told = np.concatenate([first[(mask >> bit & 1).astype(bool)] + bit for bit in range(window - GRAM + 1)])
+                        if len(told):  # and wherever the document has the same windows again
+                            own_windows = w[bounds[r]: bounds[r] + n - window + 1]
+                            steps = np.zeros(n + 1, np.int64)
+                            at = np.flatnonzero(np.isin(own_windows, own_windows[told]))
+                            steps[at] += 1
+                            steps[at + window] -= 1
+                            covered = np.cumsum(steps[:n]) > 0
                     if covered is None or not covered.any():
                         spans.append([])
                         kept.append(text.decode() if layout else b" ".join(text.split()).decode())
@@ -215,7 +237,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     by_anchor = Window.partitionBy("h")
     shared = (seeds.select("doc_id", "at", (F.min("doc_id").over(by_anchor) < F.max("doc_id").over(by_anchor)).alias("both"))
               .where("both").groupBy("doc_id").agg(F.collect_list("at").alias("seeds")))
-    around = docs.join(shared, "doc_id").select("doc_id", "text", "version", "seeds").mapInArrow(
+    # a left join, as in remove_repeats: one exchange of the texts serves both
+    around = docs.join(shared, "doc_id", "left").select("doc_id", "text", "version", "seeds").mapInArrow(
         _extend(window), "h long, doc_id long, version long, first int, windows binary")
     return around.repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(
         _repeats, "doc_id long, version long, first int, mask int")
