@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.text import slices
+from vitrine.llm.text import LOWER, Slice, slices
 
 LENGTH = 2048
 GROUP_DOCS = 20_000
@@ -28,17 +28,18 @@ PIECE = "doc_id long, start long, length long, doc_tokens long, ids binary"
 class Encoder:
     """Token ids of texts, one call of the tokenizer for each different word.
 
-    White space is dropped by this tokenizer's pre-tokenizer and nothing before it looks across
-    white space, so a text's ids are its words' ids in a row. ``flat[begin[c]: begin[c + 1]]`` are
-    those of the word with code c."""
+    This tokenizer's pre-tokenizer drops white space and always cuts between a letter and another sign than an
+    apostrophe; nothing before it looks across such a cut. So a text's ids are those of the parts so cut, in a row.
+    ``flat[begin[c]: begin[c + 1]]`` are those of the part with code c."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
+        self.keep(np.zeros(0, np.int64))
 
-    def forget(self) -> None:
+    def keep(self, codes: np.ndarray) -> None:
+        """Forget all words but these."""
         outer = self
 
         class Codes(dict):
@@ -47,26 +48,68 @@ class Encoder:
                 outer.fresh.append(word)
                 return code
 
-        self.fresh: list[bytes] = []
-        self.codes = Codes()
-        self.counts = [np.zeros(1, np.int64)]
-        self.ids = [np.zeros(0, np.uint32)]
+        words = list(getattr(self, "codes", ()))
+        kept = Codes((words[c], i) for i, c in enumerate(codes.tolist()))
+        if len(codes):
+            ids, count = self._of(codes)
+            self.begin, self.flat, self.uses = np.concatenate([[0], np.cumsum(count)]), ids, self.uses[codes] // 2
+        else:
+            self.begin, self.flat, self.uses = np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.codes, self.fresh = kept, []
+
+    def _of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        count = self.begin[codes + 1] - self.begin[codes]
+        ends = np.cumsum(count)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.begin[codes] - (ends - count), count) + np.arange(total)], count
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and the number of ids of each word."""
-        if len(self.codes) > CACHED_WORDS:
-            self.forget()
+        if len(self.codes) > CACHED_WORDS:  # those used again stay, at most half of the room
+            order = np.argsort(-self.uses, kind="stable")[: CACHED_WORDS // 2]
+            self.keep(np.sort(order[self.uses[order] > 1]))
         codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-        if self.fresh:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in self.fresh], add_special_tokens=False)]
-            self.counts = [np.concatenate([*self.counts, [len(x) for x in found]])]
-            self.ids = [np.concatenate([*self.ids, np.array([i for x in found for i in x], np.uint32)])]
-            self.fresh = []
-        begin = np.cumsum(self.counts[0])
-        count = begin[codes + 1] - begin[codes]
-        ends = np.cumsum(count)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.ids[0][np.repeat(begin[codes] - (ends - count), count) + np.arange(total)], count
+        counts, flat = [], []
+        for at in range(0, len(self.fresh), 1024):  # an encoding is far larger than its ids
+            for e in self.tokenizer.encode_batch_fast([w.decode() for w in self.fresh[at: at + 1024]], add_special_tokens=False):
+                ids = e.ids
+                counts.append(len(ids))
+                flat += ids
+        self.fresh = []
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.array(counts, np.int64))])
+        self.flat = np.concatenate([self.flat, np.array(flat, np.uint32)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(counts), np.int64)]) + np.bincount(codes, minlength=len(self.codes))
+        return self._of(codes)
+
+    def encode_rows(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows of a slice in a row, and the number of ids of each row."""
+        data, offsets = np.frombuffer(s.data.tobytes().translate(LOWER), np.uint8), s.offsets
+        kind = _KIND[data]
+        second = np.flatnonzero(data[:-1] == 0xC3) + 1
+        second = second[_LATIN[data[second]]]
+        kind[second] = kind[second - 1] = 1
+        cuts = np.flatnonzero((kind[1:] ^ kind[:-1]) == 3) + 1  # 1 beside 2
+        text = np.insert(data, cuts, 0x20).tobytes()
+        offsets = (offsets + np.searchsorted(cuts, offsets)).tolist()
+        parts, number = [], []
+        for r in range(len(s.counts)):
+            row = text[offsets[r]: offsets[r + 1]]
+            if b"< |" in row or b"<|" in row:  # perhaps a special token's name
+                row = s.data[s.offsets[r]: s.offsets[r + 1]].tobytes()
+            row = row.split()
+            parts += row
+            number.append(len(row))
+        ids, count = self.encode(parts)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(number)])])
+
+
+_ENCODERS: dict[str, Encoder] = {}  # of this worker; kept from task to task
+# 1: a-z; 2: other ASCII signs that a cut next to a letter is certain at
+_KIND = np.zeros(256, np.uint8)
+_KIND[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'"]] = 2
+_KIND[ord("a"): ord("z") + 1] = 1
+_LATIN = np.zeros(256, bool)  # second bytes of the letters U+00C0 to U+00FF, which start with C3
+_LATIN[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH,
@@ -77,12 +120,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int =
     ``tokenizer`` is the path of a tokenizer file that every executor has. NULL and empty texts are the one
     piece [end_id]. Repeated rows each count; extra columns are left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, Encoder(tokenizer))
         for b in batches:
             for s in slices(b.column(1)):
-                ids, count = encoder.encode(s.data.tobytes().split() if len(s.counts) == 1 else [
-                    w for r in range(len(s.counts)) for w in s.data[s.offsets[r]: s.offsets[r + 1]].tobytes().split()])
-                tokens = np.concatenate([[0], np.cumsum(count)])[s.bounds]
+                ids, count = encoder.encode_rows(s)
+                tokens = np.concatenate([[0], np.cumsum(count)])
                 doc, start, cut = [], [], []
                 for r in range(len(s.counts)):
                     own = np.append(ids[tokens[r]: tokens[r + 1]], np.uint32(end_id)).astype("<u4")
