@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import licenses, mixing, packing, quality, simhash, substring, topk, toxicity, vectors
+from vitrine.llm import crawl, licenses, mixing, packing, quality, simhash, substring, topk, toxicity, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +115,47 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+CANONICAL = """
+  case when regexp_extract(trim(u), e, 1) = '' then trim(u) else
+    lower(regexp_extract(trim(u), e, 1)) || '://'
+    || regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(trim(u), e, 2)), '^.*@', ''), '^www\\.', ''),
+                      case lower(regexp_extract(trim(u), e, 1)) when 'http' then ':80$' when 'https' then ':443$' else '$^' end, '')
+    || case regexp_extract(trim(u), e, 3) when '' then '/' else regexp_extract(trim(u), e, 3) end
+    || case array_to_string(list_sort(list_filter(string_split(regexp_extract(trim(u), e, 4), '&'), lambda q: q <> '' and not regexp_matches(
+         lower(q), '^(utm_[a-z]+|sid|sessionid|phpsessid|jsessionid)(=|$)'))), '&') when '' then '' else '?' || array_to_string(list_sort(list_filter(
+         string_split(regexp_extract(trim(u), e, 4), '&'), lambda q: q <> '' and not regexp_matches(
+         lower(q), '^(utm_[a-z]+|sid|sessionid|phpsessid|jsessionid)(=|$)'))), '&') end end"""
+
+
+@query("op8_warc_revisits", f"""
+with p as (
+  select page_id as p, url as u, 1577836800 + page_id * 60 as t, octet_length(encode(coalesce(html, ''))) as n,
+    substr(md5(coalesce(html, '')), 1, 12) as e1, substr(md5(coalesce(html, '') || '2'), 1, 12) as e2,
+    '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\\?([^#]*))?(?:#.*)?$' as e
+  from pages where page_id is not null and url is not null),
+c as (select *, {CANONICAL} as c from p),
+f as (
+  select c, t as "at", 'urn:page:' || p || ':0' as id, e1 as tag, n from c
+  union all select c, t + 259200, 'urn:page:' || p || ':2', e2, n from c where p % 3 = 0),
+r as (
+  select c, p, t + (1 + p % 5) * 86400 as "at", 1 as nth, case when p % 4 = 0 then '0' else e1 end as tag, null as changed from c
+  union all select c, p, t + 691200, 3, null, cast(case when p % 6 = 0 then t + 259200 else t end as varchar) from c where p % 2 = 0),
+j as (
+  select r.*, m.id as mid, m.tag as mtag, m."at" as mat, m.n as mn,
+    row_number() over (partition by r.p, r.nth order by m."at" desc nulls last, m.id desc, m.tag desc) as k
+  from r left join f m on m.c = r.c and m."at" < r."at"),
+o as (select *, case when mid is null then 'no original' when coalesce(tag = mtag, changed = cast(mat as varchar)) then 'resolved' else 'mismatch' end as outcome
+  from j where k = 1)
+select 'urn:page:' || p || ':' || nth as record_id, c as url, "at", outcome, mid as original_id,
+  case outcome when 'resolved' then 200 end as status,
+  case outcome when 'resolved' then array_to_string(list_sort([
+    'age: ' || nth, 'cache-control: max-age=' || (p % 1000), 'content-length: ' || mn, 'content-type: text/html', 'etag: "' || mtag || '"',
+    'last-modified: ' || coalesce(changed, cast(mat as varchar))]), chr(10)) end as headers,
+  case outcome when 'resolved' then 'md5:' || mtag end as payload_digest, case outcome when 'resolved' then cast(mn as bigint) end as payload_length
+from o""")
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = crawl.crawl(table(spark, sf_dir, "pages"))
+    lines = F.array_sort(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])))
+    return warc.resolve_revisits(warc.parse_warc(records)).withColumn("headers", F.array_join(lines, "\n"))
