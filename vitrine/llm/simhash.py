@@ -14,15 +14,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.components import components
-from vitrine.llm.text import LOWER
+from vitrine.llm.text import LOWER, Slice, grams, mix, slices
 from vitrine.session import write_table
 
 RADIUS = 3
 SEED = 42
+# near_copies: fingerprints for each document, so that most of what is alike enough meets in one of them
+PRINTS = 6
+# ids are broadcast up to this many, about 50 MB; beyond, both sides are shuffled
+BROADCAST_IDS = 1_000_000
 # Above this many rows of one half value, rows are compared where a byte of the other half agrees.
 PLAIN_RUN = 4096
 
@@ -58,7 +62,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
 def _half(fp: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The half of each fingerprint that its key names, and the other half."""
     high, low = fp >> np.uint64(32), fp & np.uint64(0xFFFFFFFF)
-    upper = (key >> np.uint64(32)).astype(bool)
+    upper = (key >> np.uint64(32) & np.uint64(1)).astype(bool)
     return np.where(upper, high, low), np.where(upper, low, high)
 
 
@@ -92,7 +96,7 @@ def _spanning(fp: np.ndarray, stored: np.ndarray, other: np.ndarray) -> list[tup
 
 
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) sorted by key to links (u, v)."""
+    """Rows (key, fp) sorted by key to links (of, u, v)."""
     kept = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
     def links(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
@@ -104,11 +108,14 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             begins = ends = np.zeros(0, int)
         has = np.add.reduceat(stored, begins, dtype=int) if len(begins) else begins
         found: list[tuple[int, int]] = []
+        of: list[int] = []
         for i in np.flatnonzero((ends - begins > 1) & (has > 0)):
             s = slice(begins[i], ends[i])
-            found += _spanning(fp[s], stored[s], other[s])
+            links_here = _spanning(fp[s], stored[s], other[s])
+            found += links_here
+            of += [int(key[begins[i]] >> np.uint64(33))] * len(links_here)
         out = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(out[:, 0]), pa.array(out[:, 1])], ["of", "u", "v"])
 
     pending: list[tuple[np.ndarray, np.ndarray]] = []
     for b in batches:
@@ -126,16 +133,18 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield links(*(np.concatenate([p[i] for p in pending]) for i in (0, 1)))
 
 
-def fingerprint_links(fps: DataFrame) -> DataFrame:
-    """Links (u, v) that connect all distinct fingerprints of ``fps`` (fp) within RADIUS bits."""
+def fingerprint_links(fps: DataFrame, of: Column | None = None) -> DataFrame:
+    """Links (of, u, v) that connect all distinct fingerprints of ``fps`` (fp) within RADIUS bits, apart for each value of
+    ``of``, a small number."""
+    of = F.lit(0) if of is None else of
     keys = []
     for segment, half in enumerate((F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32))):
-        key = F.lit(segment << 32) + half
+        key = of.cast("long") * F.lit(1 << 33) + F.lit(segment << 32) + half
         keys.append(key)
         keys += [F.when(half.bitwiseAND(F.lit(1 << bit)) == 0, key + F.lit(1 << bit)) for bit in range(32)]
     keyed = fps.select(F.explode(F.array_compact(F.array(*keys))).alias("key"), "fp")
     keyed = keyed.repartition("key").sortWithinPartitions("key")
-    return keyed.mapInArrow(_bucket_links, "u long, v long")
+    return keyed.mapInArrow(_bucket_links, "of int, u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,3 +161,107 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     names = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.join(names, "root").select("fp", "component_id")
     return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def _word_prints(s: Slice, prints: int) -> np.ndarray:
+    """(rows, prints) fingerprints over the different words of each row; rows without words get 0."""
+    row = np.repeat(np.arange(len(s.counts)), s.counts)
+    lowered = Slice(s.first, np.frombuffer(s.data.tobytes().translate(LOWER), np.uint8), s.offsets, s.starts, s.ends, s.counts)
+    words = lowered.hashes()
+    once = np.unique(mix(words ^ mix(row.astype(np.uint64))), return_index=True)[1]
+    once = once[np.argsort(row[once], kind="stable")]
+    row, words = row[once], words[once]
+    out = np.zeros((len(s.counts), prints), np.uint64)
+    if len(row):
+        begins = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        number = np.diff(np.append(begins, len(row)))
+        for k in range(prints):
+            bits = np.unpackbits(mix(words + np.uint64(k * 0x632BE59BD9B4E019 % (1 << 64))).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
+            out[row[begins], k] = np.packbits(2 * ones > number[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
+def _prints_of(prints: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in slices(b.column(2)):
+                fps = _word_prints(s, prints).view(np.int64)
+                n = len(s.counts)
+                lists = pa.ListArray.from_arrays(np.arange(0, n * prints + 1, prints, dtype=np.int32), pa.array(fps.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, n), b.column(1).slice(s.first, n), lists, pa.array(s.counts)],
+                                                 ["doc_id", "version", "fps", "n_words"])
+    return run
+
+
+def _shingles_of(width: int):
+    """(version, text) to the different shingles' hashes of each text, sorted, 4 bytes each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in slices(b.column(1)):
+                lowered = Slice(s.first, np.frombuffer(s.data.tobytes().translate(LOWER), np.uint8), s.offsets, s.starts, s.ends, s.counts)
+                words, bounds, out = lowered.hashes(), s.bounds, []
+                for r in range(len(s.counts)):
+                    own = words[bounds[r]: bounds[r + 1]]
+                    hashes = grams(own, min(width, len(own))) if len(own) else own
+                    out.append(np.unique(hashes.astype(np.uint32)).tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, len(out)), pa.array(out, pa.binary())], ["version", "shingles"])
+    return run
+
+
+def _alike(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for i in range(b.num_rows):
+                one, other = (np.frombuffer(b.column(c)[i].as_py(), np.uint32) for c in (2, 3))
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                keep.append(both >= similarity * (len(one) + len(other) - both) - 1e-9)
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    return run
+
+
+def join_ids(rows: DataFrame, ids: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Semi or anti join of wide ``rows`` with ``ids``, NULL equal to NULL: broadcast where their counted number allows."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    named = ids.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return rows.join(F.broadcast(named) if few else named, same, how)
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, prints: int = PRINTS,
+                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, version, head_id, head_version, head) for each row: its group of near copies, named by the document with the
+    smallest id, and whether it is that one. ``version`` is the MD5 of the text.
+
+    Texts are near copies if the sets of their ``width``-word shingles (a shorter text is one shingle), A to Z in lower case,
+    have a Jaccard similarity of at least ``similarity``; groups follow links over others. Candidates are found by multi-index
+    hashing over ``prints`` fingerprints of a text's different words, each with its own hash: a similarity at the limit leaves
+    about 8 % of the words' bits apart, too many for one fingerprint. A candidate counts only after its shingles were compared.
+    Equal texts are one group; NULL and empty texts are equal. NULL ids come last. Rows that repeat a doc_id and text stay or go
+    together. Extra columns are left out; an empty table gives an empty table."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("version", F.md5("text"))
+    marked = write_table(rows.select("doc_id", "version", "text").mapInArrow(
+        _prints_of(prints), "doc_id long, version string, fps array<long>, n_words long"), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")).alias("first")
+    texts = marked.groupBy("version").agg(first, F.first("fps").alias("fps"), F.max("n_words").alias("n_words"))
+    tables = texts.where("n_words > 0").select("version", F.posexplode("fps").alias("of", "fp"))
+    tables = write_table(tables, "tables")
+    heads = tables.groupBy("of", "fp").agg(F.min("version").alias("head"))
+    links = fingerprint_links(heads.select("of", "fp"), F.col("of"))
+    u = heads.select(F.col("of"), F.col("fp").alias("u"), F.col("head").alias("a"))
+    v = heads.select(F.col("of"), F.col("fp").alias("v"), F.col("head").alias("b"))
+    far = links.join(u, ["of", "u"]).join(v, ["of", "v"]).select("a", "b")
+    same = tables.join(heads, ["of", "fp"]).select(F.col("version").alias("a"), F.col("head").alias("b"))
+    pairs = write_table(far.union(same).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    asked = write_table(pairs.select(F.col("a").alias("version")).union(pairs.select("b")).distinct(), "asked")
+    shingles = join_ids(rows.select("version", "text"), asked, ["version"], "left_semi").mapInArrow(_shingles_of(width), "version string, shingles binary")
+    shingles = write_table(shingles.dropDuplicates(["version"]), "shingles")
+    both = (pairs.join(shingles.select(F.col("version").alias("a"), F.col("shingles").alias("one")), "a")
+            .join(shingles.select(F.col("version").alias("b"), F.col("shingles").alias("other")), "b").select("a", "b", "one", "other"))
+    roots = components(both.mapInArrow(_alike(similarity), "a string, b string"), "a", "b")
+    placed = texts.join(roots, texts["version"] == roots["node"], "left").select("version", "first", F.coalesce("root", "version").alias("root"))
+    names = placed.groupBy("root").agg(F.min(F.struct("first", "version")).alias("head"))
+    named = placed.join(names, "root").select("version", F.col("head.first.doc_id").alias("head_id"), F.col("head.version").alias("head_version"))
+    return marked.select("doc_id", "version").join(named, "version").select(
+        "doc_id", "version", "head_id", "head_version", (F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("version") == F.col("head_version"))).alias("head"))

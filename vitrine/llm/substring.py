@@ -178,8 +178,8 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(window: int, layout: bool):
-    """(doc_id, text, version, removals) to (doc_id, n_words, spans, kept)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()),
+    """(doc_id, text, version, removals) to (doc_id, version, n_words, spans, kept)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("n_words", pa.int64()),
                         ("spans", pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))),
                         ("kept", pa.string())])
 
@@ -224,7 +224,7 @@ def _cut(window: int, layout: bool):
                             pieces.append(piece if layout else b" ".join(piece.split()))
                     kept.append((b"\n" if layout else b" ").join(pieces).decode())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n_words, pa.int64()), pa.array(spans, schema.field(2).type), pa.array(kept, pa.string())],
+                [b.column(0), b.column(2), pa.array(n_words, pa.int64()), pa.array(spans, schema.field(3).type), pa.array(kept, pa.string())],
                 schema=schema)
     return run
 
@@ -246,9 +246,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, layout: bool = False,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, spans, kept) for each row: the words covered by a window whose word sequence also
+    """(doc_id, version, n_words, spans, kept) for each row: the words covered by a window whose word sequence also
     starts in a document with a smaller doc_id are taken out. ``spans`` are the maximal runs of such words;
-    ``kept`` the other words joined by one space, or as they stood with ``layout``.
+    ``kept`` the other words joined by one space, or as they stood with ``layout``; ``version`` the XXH64 of the text.
 
     ``window`` is at least GRAM and at most GRAM + 15. A NULL text has no words. A row with a NULL doc_id
     keeps all its words and takes none from others. Rows that repeat a doc_id are one document: they take
@@ -260,4 +260,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, layout: bool = False,
     found = repeated_windows(rows, window).groupBy("doc_id").agg(
         F.collect_list(F.struct("version", "first", "mask")).alias("removals"))
     return rows.join(found, "doc_id", "left").select("doc_id", "text", "version", "removals").mapInArrow(
-        _cut(window, layout), "doc_id long, n_words long, spans array<struct<start:int,length:int>>, kept string")
+        _cut(window, layout), "doc_id long, version long, n_words long, spans array<struct<start:int,length:int>>, kept string")
