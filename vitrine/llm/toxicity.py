@@ -72,7 +72,7 @@ class Model:
 
     def score(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
         """Scores of rows given as all their words in a row and their numbers of words."""
-        calm = np.full(len(counts), _softplus(np.array(self.bias)))  # minus the log of the chance that no span is toxic
+        calm = np.zeros(len(counts))  # minus the log of the chance that no span is toxic
         if words:
             bucket, word = grams(words)
             total = np.concatenate([[0.0], np.cumsum(np.bincount(word, self.weights[bucket], len(words)))])
@@ -150,7 +150,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, i
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) for each row. NULL and empty texts get the score of the model's bias. Extra columns are left out."""
+    """(doc_id, score) for each row. NULL and empty texts have no span, so 0. Extra columns are left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             scores = [np.zeros(0)]
