@@ -132,7 +132,7 @@ def integer_vectors(vectors: DataFrame, scale: int, id_col: str, vector_col: str
 
 
 def _matrix(column: pd.Series, dim: int) -> np.ndarray:
-    return np.array(column.tolist(), np.int64).reshape(-1, dim)
+    return np.array(column.tolist(), np.int64).reshape(len(column), dim)
 
 
 def _pack_trees(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
