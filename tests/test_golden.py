@@ -192,7 +192,9 @@ def test_probe_stops_after_twenty(spark):
     stored = spark.createDataFrame([(i, key(i % 20) + str(i), 1, f"o{i}", False) for i in range(25)],
                                    "id BIGINT, address STRING, collection_id INT, owner STRING, burned BOOLEAN")
     seen = stored.withColumn("updated", F.col("id"))
-    assert reconcile.probe_stop_rule(seen, stored).count() == 20
+    rows = reconcile.probe_stop_rule(seen, stored)
+    assert rows.count() == 25 and rows.where("read").count() == 20
+    assert reconcile.probe_stop_rule(seen, stored, page=7).where("read").count() == 7
 
 
 def test_candidates_past_the_cap_are_flagged(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.operators.predicates import filtered, matches_text, population, satisfied
@@ -28,24 +28,22 @@ def facet_disjunctive(assets: DataFrame, attributes: DataFrame, selections: dict
     One pass: an asset that meets all k chosen types counts for all its values; one that
     misses exactly one type counts for its values of that type."""
     members = population(assets).where(matches_text(q))
-    facets = attributes.where("is_facet")
     if collection_id is not None:
         members = members.where(F.col("collection_id") == collection_id)
-        facets = facets.where(F.col("collection_id") == collection_id)
+        attributes = attributes.where(F.col("collection_id") == collection_id)
+    facets = attributes.where("is_facet")
     members = members.select(F.col("id").alias("asset_id"))
     if not selections:
         kept = facets.join(members, "asset_id", "left_semi")
     else:
         k = len(selections)
-        missed: Column = F.lit(None).cast("string")
-        for i, trait_type in enumerate(selections):
-            missed = F.when(F.col("_met").bitwiseAND(1 << i) == 0, F.lit(trait_type)).otherwise(missed)
-        met = satisfied(facets, selections)
+        met = satisfied(attributes, selections)
         if k == 1:
-            near = members.join(met, "asset_id", "left").withColumn("_met", F.coalesce("_met", F.lit(0)))
+            near = members.join(met, "asset_id", "left").withColumn("_met", F.coalesce("_met", F.array().cast("array<string>")))
         else:
-            near = members.join(met.where(F.bit_count("_met") >= k - 1), "asset_id")
-        near = near.select("asset_id", missed.alias("_missed"))
+            near = members.join(met.where(F.size("_met") >= k - 1), "asset_id")
+        chosen = F.array(*[F.lit(t) for t in selections])
+        near = near.select("asset_id", F.get(F.array_except(chosen, "_met"), F.lit(0)).alias("_missed"))
         kept = facets.join(near, "asset_id").where(
             F.col("_missed").isNull() | (F.col("_missed") == F.col("trait_type")))
     return kept.groupBy(*FACET).agg(F.count(F.lit(1)).alias("n"))

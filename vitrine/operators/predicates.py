@@ -58,19 +58,15 @@ def selected(selections: dict[str, list[str]]) -> Column:
 
 
 def satisfied(attributes: DataFrame, selections: dict[str, list[str]]) -> DataFrame:
-    """Per asset, a bit for each chosen type (in the order given) of which it has a chosen value."""
-    bit = F.lit(0)
-    for i, (trait_type, values) in enumerate(selections.items()):
-        bit = F.when((F.col("trait_type") == trait_type) & F.col("value").isin(*values), F.lit(1 << i)).otherwise(bit)
-    return attributes.where(F.col("is_facet") & selected(selections)).groupBy("asset_id").agg(F.bit_or(bit).alias("_met"))
+    """Per asset, the chosen types of which it has a chosen value; a chosen type need not be one that is counted."""
+    return attributes.where(selected(selections)).groupBy("asset_id").agg(F.collect_set("trait_type").alias("_met"))
 
 
 def trait_filter(assets: DataFrame, attributes: DataFrame, selections: dict[str, list[str]]) -> DataFrame:
     """Assets with one of the values of every chosen type."""
     if not selections:
         return assets
-    full = (1 << len(selections)) - 1
-    keep = satisfied(attributes, selections).where(F.col("_met") == full).select(F.col("asset_id").alias("id"))
+    keep = satisfied(attributes, selections).where(F.size("_met") == len(selections)).select(F.col("asset_id").alias("id"))
     return assets.join(keep, "id", "left_semi")
 
 

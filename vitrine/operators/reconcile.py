@@ -5,18 +5,16 @@ empty owner already read as unknown."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.operators.ordered import running_sum, scan
+from vitrine.operators.ordered import last_before, row_number, running_sum, scan
 from vitrine.operators.predicates import population
 
 # How far a probe and a repair run go.
-PROBE_PAGE = 100
 AGREE_STREAK = 20
 MAX_DEEP_CRAWLS = 5
 RECOVER_BUDGET = 200
-MAX_CANDIDATES = 2000
 
 
 # -- who should be watched -----------------------------------------------------------
@@ -88,13 +86,15 @@ def state_diff(stored: DataFrame, observed: DataFrame) -> DataFrame:
         "last_activity_slot")
 
 
-def candidate_union(diff: DataFrame, dirty: DataFrame, drifted: DataFrame, cap: int = MAX_CANDIDATES) -> DataFrame:
-    """Assets to recover, each once; those past ``cap`` are flagged for a rebuild instead.
+def candidate_union(diff: DataFrame, dirty: DataFrame, drifted: DataFrame, cap: int | None = None) -> DataFrame:
+    """Assets to recover, each once; with a ``cap`` those past it are flagged for a rebuild instead.
 
     Order: state differences, then dirty, then drifted, each by id."""
     sources = [df.select("id", F.lit(i).alias("source")) for i, df in enumerate((diff, dirty, drifted))]
     each = sources[0].unionByName(sources[1]).unionByName(sources[2]).groupBy("id").agg(
         F.min("source").alias("source"))
+    if cap is None:
+        return each.withColumn("action", F.lit("recover"))
     # cap rows at most, so the split is a broadcast lookup and not a global numbering
     first = each.orderBy("source", "id").limit(cap).select("id", F.lit(True).alias("_in"))
     return each.join(F.broadcast(first), "id", "left").select(
@@ -103,42 +103,44 @@ def candidate_union(diff: DataFrame, dirty: DataFrame, drifted: DataFrame, cap:
 
 # -- probing the tip -------------------------------------------------------------------
 def probe_stop_rule(observed: DataFrame, stored: DataFrame, streak: int = AGREE_STREAK,
-                    page: int = PROBE_PAGE) -> DataFrame:
-    """Rows a tip probe reads per collection: newest first, one page, until ``streak``
-    tracked assets in a row agree. Untracked assets neither count nor break the streak.
+                    page: int | None = None) -> DataFrame:
+    """All observed rows, newest first within their collection, and whether a tip probe has to ``read`` them: until
+    ``streak`` tracked assets in a row agree and, with a ``page``, no further than that. Untracked assets neither
+    count nor break the streak.
 
     ``observed`` carries ``updated`` (greater = newer)."""
-    newest = Window.partitionBy("collection_id").orderBy(F.desc("updated"), "address")
-    rows = observed.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= page)
     known = stored.select("address", F.col("owner").alias("old"), F.col("burned").alias("was_burned"))
     owner = F.when(~F.col("burned"), F.nullif("owner", F.lit("")))
     stale = (owner.isNotNull() & ~F.col("old").eqNullSafe(owner)) | (F.col("burned") & ~F.col("was_burned"))
     tracked = F.col("was_burned").isNotNull()
-    rows = rows.join(known, "address", "left").select(
-        "collection_id", "address", "rn", tracked.alias("tracked"), (tracked & stale).alias("stale"))
-    # at most one page of rows per collection reaches these windows
-    by = Window.partitionBy("collection_id").orderBy("rn")
-    rows = rows.withColumn("_island", F.sum(F.col("stale").cast("int")).over(by))
-    in_island = Window.partitionBy("collection_id", "_island").orderBy("rn")
-    agree = F.sum((F.col("tracked") & ~F.col("stale")).cast("int")).over(in_island)
-    full = rows.withColumn("_run", agree).withColumn(
-        "_full", F.when((F.col("_run") == streak) & F.col("tracked") & ~F.col("stale"), F.col("rn")))
-    end = full.groupBy("collection_id").agg(F.min("_full").alias("_end"))
-    return full.join(end, "collection_id").where(F.col("rn") <= F.coalesce("_end", F.lit(page))).select(
-        "collection_id", "address", "rn", "tracked", "stale")
+    rows = observed.join(known, "address", "left").select(
+        "collection_id", "address", tracked.alias("tracked"), (tracked & stale).alias("stale"),
+        F.col("updated").isNull().cast("int").alias("_undated"), (-F.coalesce("updated", F.lit(0))).alias("_newest"))
+    agrees = F.col("tracked") & ~F.col("stale")
+    order = ["_undated", "_newest", "address"]
+    rows = scan(rows, ["collection_id"], order, {"rn": row_number(), "_agreed": running_sum(agrees.cast("long"))})
+    # agreeing rows since the last stale one
+    rows = scan(rows, ["collection_id"], order, {"_before": last_before(F.when(F.col("stale"), F.col("_agreed")))})
+    full = agrees & (F.col("_agreed") - F.coalesce("_before", F.lit(0)) == streak)
+    end = rows.groupBy("collection_id").agg(F.min(F.when(full, F.col("rn"))).alias("_end"))
+    read = F.coalesce(F.col("rn") <= F.col("_end"), F.lit(True))
+    if page is not None:
+        read = read & (F.col("rn") <= page)
+    return rows.join(end, "collection_id").select("collection_id", "address", "rn", "tracked", "stale", read.alias("read"))
 
 
 def recovery_window(signatures: DataFrame, assets: DataFrame, cursor: int | None = None,
                     budget: int | None = None) -> DataFrame:
-    """Signatures newer than each asset's last recorded slot (else ``cursor``), newest first,
-    up to ``budget`` per asset; failed ones are parked, the others replayed."""
+    """Signatures newer than each asset's last recorded slot (else ``cursor``): failed ones are parked, the others
+    replayed. With a ``budget``, those of an asset beyond its newest so many are left for later."""
     floor = assets.select(
         F.col("id").alias("asset_id"), F.coalesce("last_activity_slot", F.lit(cursor or 0)).alias("floor"))
     rows = signatures.join(floor, "asset_id").where(F.col("slot") > F.col("floor"))
+    action = F.when(F.col("failed"), "park").otherwise("replay")
     if budget is not None:
-        newest = Window.partitionBy("asset_id").orderBy(F.desc("slot"), "signature")
-        rows = rows.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= budget)
-    return rows.select("asset_id", "signature", "slot", F.when(F.col("failed"), "park").otherwise("replay").alias("action"))
+        rows = scan(rows.withColumn("_newest", -F.col("slot")), ["asset_id"], ["_newest", "signature"], {"_rn": row_number()})
+        action = F.when(F.col("_rn") > budget, "later").otherwise(action)
+    return rows.select("asset_id", "signature", "slot", action.alias("action"))
 
 
 def probe_repair_plan(stale: DataFrame, budget: int = RECOVER_BUDGET, deep: int = MAX_DEEP_CRAWLS) -> DataFrame:

@@ -136,6 +136,16 @@ def _(d):
         predicates.population(d.assets()), d.asset_attributes(), SELECTIONS).select("id", "collection_id")
 
 
+# The per-asset names are no facet, but may be chosen.
+NAMED = {"Name": ["old anvil #14", "old plate #14", "cold gizmo #10", "large anvil #10", "large widget #10", "new plate #11", "small anvil #11",
+                  "old gear #11", "old ring #12", "red bolt #12", "red rod #12", "hot rod #25", "blue rod #25"], "Size": ["0", "1", "2", "3"]}
+
+
+@query("trait_filter_named", with_("asset_attributes members", f"select id, collection_id from members m where {sql_match('m.id', NAMED)}"))
+def _(d):
+    return predicates.trait_filter(predicates.population(d.assets()), d.asset_attributes(), NAMED).select("id", "collection_id")
+
+
 @query("kind_filter", with_("activity", "select id, kind from activity where kind in ('sale', 'burn')"))
 def _(d):
     return predicates.kind_filter(d.activity(), ["sale", "burn"]).select("id", "kind")
@@ -210,6 +220,11 @@ def _(d):
     return facets.facet_disjunctive(d.assets(), d.asset_attributes(), ONE_RARE)
 
 
+@query("facet_disjunctive_named", with_("facets", disjunctive_sql(NAMED)))
+def _(d):
+    return facets.facet_disjunctive(d.assets(), d.asset_attributes(), NAMED)
+
+
 @query("facet_disjunctive_text", with_("facets", disjunctive_sql(
     {"Size": ["1", "2", "3"]}, "(contains(lower(m.name), 'ring') or starts_with(m.address, 'ring'))")))
 def _(d):

@@ -253,24 +253,27 @@ def _(d):
 
 
 # -- integrity ---------------------------------------------------------------------------
+# an asset's open interval, if any, against what was observed; assets never seen in a timeline are left out
 MISMATCH = """
-  select a.id as asset_id, a.address, a.burned, a.owner as observed_owner, h.owner as derived_owner
-  from assets a left join history h on h.asset_id = a.id and h.to_slot is null
-  where exists (select 1 from history x where x.asset_id = a.id) and a.owner is distinct from h.owner"""
+  with derived as (select asset_id, max(owner) filter (where to_slot is null) as derived_owner from history group by asset_id)
+  select asset_id, address, burned, owner as observed_owner, derived_owner from derived join assets on id = asset_id
+  where case when owner is null or derived_owner is null then coalesce(owner, derived_owner) is not null else owner <> derived_owner end"""
 ALLOW = """
-  select a.id as asset_id, a.address, c.slug from assets a join collections c on c.id = a.collection_id
-  where c.membership_rule = 'tm_allowlist' and not exists (
-    select 1 from collection_mints m where m.collection_id = c.id and m.mint = a.address)"""
+  select id as asset_id, address, slug from (
+    select id, address, collection_id from assets except
+    select id, address, m.collection_id from assets join collection_mints m on m.mint = address) l
+  natural join (select id as collection_id, slug from collections where membership_rule = 'tm_allowlist')"""
 SYMBOL = """
-  select a.id as asset_id, a.address, c.slug, a.symbol as asset_symbol, c.symbol as expected_symbol
-  from assets a join collections c on c.id = a.collection_id
-  where c.membership_rule = 'tm_allowlist' and a.symbol <> c.symbol"""
+  select id as asset_id, address, slug, symbol as asset_symbol, expected_symbol
+  from assets natural join (select id as collection_id, slug, symbol as expected_symbol from collections
+    where membership_rule = 'tm_allowlist') where not starts_with(symbol, expected_symbol) or length(symbol) > length(expected_symbol)"""
+# ranks are whole if they are the numbers from 1 to the number of members
 BROKEN = """
-  select c.id as collection_id, c.slug, count(*) filter (where rarity_rank is null) as unranked, count(*) as members,
-    count(distinct rarity_rank) as distinct_ranks, cast(max(rarity_rank) as bigint) as max_rank
-  from collections c join ranks a on a.collection_id = c.id where c.enabled group by 1, 2
-  having count(*) filter (where rarity_rank is null) > 0 or count(distinct rarity_rank) <> count(*)
-    or max(rarity_rank) <> count(*)"""
+  select collection_id, slug, members - ranked as unranked, members, distinct_ranks, max_rank
+  from (select collection_id, count(*) as members, count(rarity_rank) as ranked, count(distinct rarity_rank) as distinct_ranks,
+      cast(max(rarity_rank) as bigint) as max_rank, list_sort(list(cast(coalesce(rarity_rank, 0) as bigint))) as there
+    from ranks group by collection_id)
+  natural join (select id as collection_id, slug from collections where enabled) where there <> range(1, members + 1)"""
 I = "assets history collections collection_mints asset_attributes members"
 # A rank was lost for every asset 60, 120, ... of the catalogue.
 LOST = """select m.id, m.collection_id, case when m.id % 60 <> 0 then r.rarity_rank end as rarity_rank

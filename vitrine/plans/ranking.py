@@ -16,27 +16,46 @@ query = plans.query
 AS_OF = "2001-06-01 00:00:00"
 
 
+FIXED_POINT = "((2 * members::hugeint * 1000000000000 + carriers) // (2 * carriers))"
+
+
 def rarity_ctes(prefix: str, population: str) -> dict[str, str]:
-    """Brute force rarity over a population: the full cell matrix in integer fixed point."""
+    """Rarity over a population from the counts of present values and, for each type, of assets that lack it. Terms are
+    in integer fixed point. Every asset starts from the sum of all its collection's lacking terms, less those of the
+    types it has, plus the terms of its values."""
     p = prefix
     return {
         f"{p}pop": population,
-        f"{p}n": f"select collection_id, count(*) as n from {p}pop group by 1",
-        f"{p}types": "select distinct collection_id, trait_type from asset_attributes where is_facet",
-        f"{p}cell": f"""select p.id as asset_id, p.collection_id, t.trait_type, a.value
-            from {p}pop p join {p}types t using (collection_id)
-            left join asset_attributes a on a.asset_id = p.id and a.trait_type = t.trait_type""",
-        f"{p}freq": f"select collection_id, trait_type, value, count(*) as carriers from {p}cell group by all",
-        f"{p}terms": f"""select c.*, f.carriers, n.n,
-            (2 * n.n::hugeint * 1000000000000 + f.carriers) // (2 * f.carriers) as term
-            from {p}cell c join {p}freq f on f.collection_id = c.collection_id and f.trait_type = c.trait_type
-              and f.value is not distinct from c.value
-            join {p}n n on n.collection_id = c.collection_id""",
-        f"{p}scored": f"""select asset_id, collection_id,
-            cast((2 * sum(term)::hugeint + 1000000) // 2000000 as bigint) as millionths from {p}terms group by 1, 2""",
+        f"{p}own": f"""select id as asset_id, pop.collection_id, trait_type, value from {p}pop pop
+            join asset_attributes on asset_id = id
+            semi join (select distinct collection_id as cid, trait_type as kind from asset_attributes where is_facet)
+              on cid = pop.collection_id and kind = trait_type""",
+        f"{p}size": f"select collection_id, count(*) as members from {p}pop group by collection_id",
+        f"{p}lack": f"""select collection_id, trait_type, members - count(distinct asset_id) as carriers, any_value(members) as members
+            from (select distinct collection_id, trait_type from asset_attributes where is_facet)
+            join {p}size using (collection_id) left join {p}own using (collection_id, trait_type)
+            group by collection_id, trait_type, members having members > count(distinct asset_id)""",
+        f"{p}freq": f"""select collection_id, trait_type, value, count(*) as carriers from {p}own group by all
+            union all select collection_id, trait_type, null, carriers from {p}lack""",
+        f"{p}worth": f"select *, {FIXED_POINT} as term from {p}freq join {p}size using (collection_id)",
+        f"{p}scored": f"""select asset_id, collection_id, cast((2 * sum(part)::hugeint + 1000000) // 2000000 as bigint) as millionths
+            from (select id as asset_id, pop.collection_id, term as part from {p}pop pop
+                left join {p}worth w on w.collection_id = pop.collection_id and value is null
+              union all select distinct on (asset_id, o.trait_type) asset_id, o.collection_id, -term
+                from {p}own o join {p}worth w on w.collection_id = o.collection_id and w.trait_type = o.trait_type and w.value is null
+              union all select asset_id, o.collection_id, term
+                from {p}own o join {p}worth w on (w.collection_id, w.trait_type, w.value) = (o.collection_id, o.trait_type, o.value))
+            group by asset_id, collection_id having count(part) > 0""",
         f"{p}ranked": f"""select asset_id, collection_id, millionths / 1e6 as rarity_score,
             cast(row_number() over (partition by collection_id order by millionths desc, asset_id) as int) as rarity_rank
             from {p}scored""",
+        # every asset with every type of its collection, for the queries that show the cells
+        f"{p}cell": f"""select asset_id, collection_id, trait_type, value from {p}own union all
+            select asset_id, collection_id, trait_type, null from (
+              select id as asset_id, collection_id, trait_type from {p}pop join {p}lack using (collection_id)
+              except select asset_id, collection_id, trait_type from {p}own)""",
+        f"{p}terms": f"""select asset_id, c.collection_id, c.trait_type, c.value, carriers, members as n, term from {p}cell c
+            join {p}worth w on w.collection_id = c.collection_id and w.trait_type = c.trait_type and coalesce('=' || w.value, '') = coalesce('=' || c.value, '')""",
     }
 
 
@@ -137,17 +156,17 @@ def _(d):
 
 
 STATS = f"""
-  select c.id as collection_id,
-    (select count(*) from members m where m.collection_id = c.id and not m.burned) as supply,
-    (select count(distinct owner) from members m where m.collection_id = c.id) as holders,
-    (select count(*) from activity a where a.collection_id = c.id
-       and a.block_time >= timestamp '{AS_OF}' - interval 24 hour) as activity_24h,
-    (select count(*) from activity a where a.collection_id = c.id
-       and a.block_time >= timestamp '{AS_OF}' - interval 7 day) as activity_7d,
-    (select count(*) from members m where m.collection_id = c.id and m.burned) as burned,
-    (select count(*) from members m where m.collection_id = c.id) as indexed,
-    (select max(last_activity_at) from members m where m.collection_id = c.id) as last_activity_at
-  from collections c"""
+  with of_members as (
+    select collection_id as id, sum(cast(not burned as int)) as alive, count(distinct owner) as holders,
+      sum(cast(burned as int)) as burned, count(*) as indexed, max(last_activity_at) as last_activity_at
+    from members group by collection_id),
+  of_events as (
+    select collection_id as id, sum(cast(age <= interval 24 hour as int)) as day, count(*) as week
+    from (select collection_id, timestamp '{AS_OF}' - block_time as age from activity) where age <= interval 7 day group by collection_id)
+  select id as collection_id, cast(coalesce(alive, 0) as bigint) as supply, coalesce(holders, 0) as holders,
+    cast(coalesce(day, 0) as bigint) as activity_24h, coalesce(week, 0) as activity_7d,
+    cast(coalesce(m.burned, 0) as bigint) as burned, coalesce(indexed, 0) as indexed, last_activity_at
+  from collections left join of_members m using (id) left join of_events using (id)"""
 HELD = """select collection_id, owner, count(*) as held from members where owner is not null group by 1, 2"""
 BUCKETED = """
   select c.id as collection_id, b.label, b.min_count, b.max_count, count(h.owner) as holders,

@@ -137,6 +137,8 @@ CTES: dict[str, tuple[list[str], str]] = {
 
 def with_(names: str, body: str, **extra: str) -> str:
     """``body`` behind the CTEs it names (space separated) and, in order, the ``extra`` ones."""
+    if body.lstrip().startswith("with "):
+        body = f"select * from ({body})"
     needed: list[str] = []
 
     def add(name: str) -> None:
@@ -147,5 +149,5 @@ def with_(names: str, body: str, **extra: str) -> str:
 
     for name in names.split():
         add(name)
-    parts = [f"{n} as ({CTES[n][1]})" for n in needed] + [f"{n} as ({b})" for n, b in extra.items()]
+    parts = [f"{n} as materialized ({b})" for n, b in [*((n, CTES[n][1]) for n in needed), *extra.items()]]
     return "with " + ",\n".join(parts) + "\n" + body if parts else body

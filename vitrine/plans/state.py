@@ -45,33 +45,39 @@ def batch(d):
         F.lit(4250).cast("long").alias("owner_slot"), "ord")
 
 
+# the row that a write would leave, column by column; it is written if that differs in one of them
+WRITTEN = ["name", "symbol", "metadata_uri", "metadata_source_uri", "image_uri", "burned", "owner", "owner_slot"]
+USABLE = f"regexp_full_match(owner, '{PUBKEY}')"
 UPSERTED = f"""
-  select coalesce(o.address, n.address) as address, coalesce(o.collection_id, n.collection_id) as collection_id,
-    case when w then n.name else o.name end as name, case when w then n.symbol else o.symbol end as symbol,
-    case when w then n.metadata_uri else o.metadata_uri end as metadata_uri,
-    case when w then coalesce(n.metadata_source_uri, o.metadata_source_uri) else o.metadata_source_uri end as metadata_source_uri,
-    case when w then coalesce(n.image_uri, o.image_uri) else o.image_uri end as image_uri,
-    case when w then b else o.burned end as burned,
-    case when w then case when b then null when later then n.owner else o.owner end else o.owner end as owner,
-    case when w then case when b then null when later then n.slot else o.owner_slot end else o.owner_slot end as owner_slot,
-    action
-  from (select *, action in ('inserted', 'updated') as w from (select o, n, b, later,
-      case when n.address is null then 'kept' when o.address is null then 'inserted'
-           when o.collection_id <> n.collection_id then 'skipped_foreign'
-           when (o.name, o.symbol, o.metadata_uri, o.metadata_source_uri, o.image_uri) is distinct from
-                (n.name, n.symbol, n.metadata_uri, coalesce(n.metadata_source_uri, o.metadata_source_uri),
-                 coalesce(n.image_uri, o.image_uri))
-             or (n.burned and not o.burned)
-             or (not b and later and o.owner is distinct from n.owner) then 'updated' else 'unchanged' end as action
-    from (select o, n, coalesce(o.burned, false) or n.burned as b,
-        o.owner_slot is null or coalesce(n.slot > o.owner_slot, false) as later
-      from stored o full join (
-        select * exclude (owner), case when burned then null when regexp_full_match(owner, '{PUBKEY}') then owner end as owner,
-          case when not burned and regexp_full_match(owner, '{PUBKEY}') then owner_slot end as slot
-        from batch where regexp_full_match(address, '{PUBKEY}')
-        qualify row_number() over (partition by address order by ord) = 1) n on n.address = o.address)))
+  with incoming as (
+    select * replace (case when not burned and {USABLE} then owner_slot end as owner_slot,
+      case when not burned and {USABLE} then owner end as owner)
+    from (select *, row_number() over (partition by address order by ord) as nth from batch where regexp_full_match(address, '{PUBKEY}'))
+    where nth = 1),
+  both_sides as (
+    select coalesce(o.address, n.address) as address, coalesce(o.collection_id, n.collection_id) as collection_id, o, n,
+      n.address is not null as offered, o.address is not null as known, o.collection_id <> n.collection_id as elsewhere,
+      greatest(coalesce(o.burned, false), coalesce(n.burned, false)) as gone,
+      case when o.owner_slot is null then true else coalesce(n.owner_slot, -1) > o.owner_slot end as newer
+    from stored o full join incoming n using (address)),
+  merged as (
+    select *, n.name as name, n.symbol as symbol, n.metadata_uri as metadata_uri,
+      coalesce(n.metadata_source_uri, o.metadata_source_uri) as metadata_source_uri, coalesce(n.image_uri, o.image_uri) as image_uri,
+      gone as burned, case when not gone then case when newer then n.owner else o.owner end end as owner,
+      case when not gone then case when newer then n.owner_slot else o.owner_slot end end as owner_slot
+    from both_sides),
+  judged as (
+    select *, list_contains([name is distinct from o.name, symbol is distinct from o.symbol, metadata_uri is distinct from o.metadata_uri,
+        metadata_source_uri is distinct from o.metadata_source_uri, image_uri is distinct from o.image_uri,
+        burned is distinct from o.burned, not gone and owner is distinct from o.owner], true) as differs
+    from merged),
+  decided as (
+    select *, case when not offered then 'kept' when not known then 'inserted' when elsewhere then 'skipped_foreign'
+      when differs then 'updated' else 'unchanged' end as action from judged)
+  select address, collection_id, {", ".join(f"case when action in ('inserted', 'updated') then {c} else o.{c} end as {c}" for c in WRITTEN)},
+    action from decided
   union all
-  select address, collection_id, {TEXT}, burned, case when regexp_full_match(owner, '{PUBKEY}') then owner end, owner_slot,
+  select address, collection_id, {TEXT}, burned, case when {USABLE} then owner end, owner_slot,
     'invalid' from batch where not regexp_full_match(address, '{PUBKEY}')"""
 
 
@@ -410,7 +416,7 @@ def _(d):
 
 
 @query("candidate_union", with_(R, """
-  select id, source, case when row_number() over (order by source, id) <= 20 then 'recover' else 'flag' end as action
+  select id, source, 'recover' as action
   from (select id, cast(min(source) as int) as source from (
     select id, 0 as source from diff union all select id, 1 from stored where ownership_dirty
     union all select s.id, 2 from stored s join history h on h.asset_id = s.id and h.to_slot is null
@@ -425,11 +431,11 @@ def _(d):
     stored = d.stored_assets()
     return reconcile.candidate_union(
         reconcile.state_diff(stored, d.observed()), timeline.dirty_assets(stored),
-        integrity.drifted_assets(stored, d.collections(), d.ownership_history()), cap=20)
+        integrity.drifted_assets(stored, d.collections(), d.ownership_history()))
 
 
 PROBE = """
-  select o.collection_id, o.address, cast(o.rn as int) as rn, o.tracked, o.stale from (
+  select o.collection_id, o.address, o.rn, o.tracked, o.stale, coalesce(rn <= fin, true) as read from (
     select *, min(case when run = 20 and tracked and not stale then rn end) over (partition by collection_id) as fin from (
       select *, sum(case when tracked and not stale then 1 else 0 end)
           over (partition by collection_id, island order by rn) as run from (
@@ -438,8 +444,7 @@ PROBE = """
             s.id is not null and ((x.who is not null and s.owner is distinct from x.who) or (x.burned and not s.burned)) as stale
           from (select *, case when not burned then nullif(owner, '') end as who,
               row_number() over (partition by collection_id order by updated desc nulls last, address) as rn from observed) x
-          left join stored s on s.address = x.address where x.rn <= 100)))) o
-  where rn <= coalesce(fin, 100)"""
+          left join stored s on s.address = x.address)))) o"""
 
 
 @query("probe_stop_rule", with_(R, PROBE))
@@ -449,15 +454,14 @@ def _(d):
 
 WINDOW = """
   select asset_id, signature, slot, case when failed then 'park' else 'replay' end as action from (
-    select g.*, row_number() over (partition by g.asset_id order by g.slot desc, g.signature) as rn
-    from signatures g join assets a on a.id = g.asset_id
-    where g.slot > case when a.id % 4 = 0 then 3900 else a.last_activity_slot - 400 end) where rn <= 5"""
+    select g.* from signatures g join assets a on a.id = g.asset_id
+    where g.slot > case when a.id % 4 = 0 then 3900 else a.last_activity_slot - 400 end)"""
 
 
 @query("recovery_window", with_("assets signatures", WINDOW))
 def _(d):
     known = d.assets().withColumn("last_activity_slot", F.when(F.col("id") % 4 != 0, F.col("last_activity_slot") - 400))
-    return reconcile.recovery_window(d.signatures(), known, cursor=3900, budget=5)
+    return reconcile.recovery_window(d.signatures(), known, cursor=3900)
 
 
 STALE = """
