@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.base58 import is_create_data
-from vitrine.operators.skew import HEAVY_KEYS, lookup_join, registry_join
+from vitrine.operators.skew import HEAVY_ROWS, lookup_join, registry_join
 from vitrine.schemas import TRANSACTION
 from vitrine.session import durable
 
@@ -168,7 +168,7 @@ def owner_map_join(calls: DataFrame, owner_map: DataFrame, account: str, owner:
     """Fill a missing owner from the harvested map. The accounts that occur most are the
     heavy keys, so the calls need not be counted first."""
     known = owner_map.select(F.col("account").alias("_account"), F.col("owner").alias("_owner"))
-    heavy = owner_map.orderBy(F.desc("seen"), "account").limit(HEAVY_KEYS).select(F.col("account").alias("_account"))
+    heavy = owner_map.where(F.col("seen") > HEAVY_ROWS).select(F.col("account").alias("_account"))
     asked = calls.withColumn("_account", F.when(F.col(owner).isNull(), F.col(account)))
     joined = lookup_join(asked, known, ["_account"], spread="signature", heavy=heavy)
     return joined.withColumn(owner, F.coalesce(owner, "_owner")).drop("_account", "_owner")

@@ -19,8 +19,8 @@ from vitrine.session import durable
 
 HOT_ROWS_CONF = "vitrine.scan.hotRows"
 HOT_ROWS = 2_000_000
-# A key above 1/MAX_HOT_KEYS of all rows is hot, so there are fewer hot keys than this.
-MAX_HOT_KEYS = 10_000
+# Hot keys are broadcast up to this many; there are under 1/HOT_ROWS as many of them as rows.
+BROADCAST_KEYS = 200_000
 
 
 @dataclass(frozen=True)
@@ -114,12 +114,14 @@ def scan(df: DataFrame, by: list[str], order: list[str], steps: dict[str, Step],
     limit = hot_rows or int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS)))
     if sizes is None:
         sizes = key_sizes(df, by)
-    total, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
-    if largest is None or largest <= limit:
+    total, n_hot = sizes.agg(F.sum("_n"), F.count_if(F.col("_n") > limit)).first()
+    if not n_hot:
         return _plain(df, by, order, steps)
-    hot = sizes.where(F.col("_n") > max(limit, total // MAX_HOT_KEYS)).select(*by)
-    cold_rows = df.join(F.broadcast(hot), by, "left_anti")
-    hot_rows_df = df.join(F.broadcast(hot), by, "left_semi")
+    hot = sizes.where(F.col("_n") > limit).select(*by)
+    if n_hot <= BROADCAST_KEYS:
+        hot = F.broadcast(hot)
+    cold_rows = df.join(hot, by, "left_anti")
+    hot_rows_df = df.join(hot, by, "left_semi")
     parts = max(2, min(total // limit + 1, 100_000), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return _plain(cold_rows, by, order, steps).unionByName(_blocked(hot_rows_df, by, order, steps, parts))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vitrine.operators.facets import facet_types
 from vitrine.operators.ordered import key_sizes, row_number, scan
 from vitrine.operators.predicates import population
-from vitrine.operators.skew import HEAVY_KEYS, lookup_join
+from vitrine.operators.skew import HEAVY_ROWS, lookup_join
 from vitrine.session import durable
 
 CELL = ["collection_id", "trait_type", "value"]
@@ -72,7 +72,7 @@ def rarity_score(assets: DataFrame, attributes: DataFrame) -> DataFrame:
     # one row per distinct value, read as heavy keys, as their terms and as all other terms
     terms = durable(freq.join(types, ["collection_id", "trait_type"]).select(
         *CELL, "carriers", _share(F.col("n"), F.col("carriers")).alias("term"), "absent_term"))
-    heavy = terms.orderBy(F.desc("carriers"), *CELL).limit(HEAVY_KEYS).select(*CELL)
+    heavy = terms.where(F.col("carriers") > HEAVY_ROWS).select(*CELL)
     cells = lookup_join(facets, terms.drop("carriers"), CELL, spread="asset_id", heavy=heavy)
     own = cells.groupBy("asset_id", "trait_type").agg(
         F.sum("term").alias("term"), F.max("absent_term").alias("absent_term"))
@@ -113,7 +113,7 @@ def _cells_with_freq(assets: DataFrame, attributes: DataFrame) -> DataFrame:
     keys = ["collection_id", "trait_type", "_v", "_none"]
     shown = [F.coalesce("value", F.lit("")).alias("_v"), F.col("value").isNull().alias("_none")]
     freq = _freq(assets, attributes).select("collection_id", "trait_type", *shown, "carriers", "n")
-    heavy = freq.orderBy(F.desc("carriers"), *keys).limit(HEAVY_KEYS).select(*keys)
+    heavy = freq.where(F.col("carriers") > HEAVY_ROWS).select(*keys)
     cells = cell_matrix(assets, attributes).select("*", *shown)
     return lookup_join(cells, freq, keys, spread="asset_id", heavy=heavy)
 

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Heavy keys looked up by broadcast. Every other key holds under 1/HEAVY_KEYS of the rows.
-HEAVY_KEYS = 2_000
+# A key with more rows than this is heavy, whatever the size of the table: more than one task should do for one key.
+HEAVY_ROWS = 1_000_000
+# Heavy keys are broadcast up to this many; there are under 1/HEAVY_ROWS as many of them as rows.
+BROADCAST_KEYS = 200_000
 
 
-def heavy_keys(df: DataFrame, keys: list[str], limit: int = HEAVY_KEYS) -> DataFrame:
-    """The ``limit`` most frequent keys: bounded by construction, ties broken by key."""
+def heavy_keys(df: DataFrame, keys: list[str], rows: int = HEAVY_ROWS) -> DataFrame:
+    """The keys with more than ``rows`` rows."""
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counted.orderBy(F.desc("_n"), *keys).limit(limit).select(*keys)
+    return counted.where(F.col("_n") > rows).select(*keys)
 
 
 def lookup_join(facts: DataFrame, lookup: DataFrame, keys: list[str], spread: str,
@@ -24,6 +26,8 @@ def lookup_join(facts: DataFrame, lookup: DataFrame, keys: list[str], spread: st
     extra = [c for c in lookup.columns if c not in keys]
     if heavy is None:
         heavy = heavy_keys(facts, keys)
+    if heavy.limit(BROADCAST_KEYS + 1).count() > BROADCAST_KEYS:
+        return facts.join(lookup, keys, how)  # adaptive execution splits the heavy keys
     top = lookup.join(F.broadcast(heavy), keys, "left_semi")
     top = top.select(*keys, F.struct(*extra).alias("_top"))
     rest = lookup.select(*keys, F.lit(0).alias("_salt"), F.struct(*extra).alias("_rest"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.operators.predicates import enabled_gate, keyset_after, population
-from vitrine.operators.skew import HEAVY_KEYS, lookup_join
+from vitrine.operators.skew import HEAVY_ROWS, lookup_join
 
 # Holder cohorts as (label, lowest, highest or None).
 BUCKETS = (("1", 1, 1), ("2-5", 2, 5), ("6-20", 6, 20), ("21+", 21, None))
@@ -72,7 +72,7 @@ def holder_rank(collections: DataFrame, assets: DataFrame) -> DataFrame:
     histogram = owners.groupBy("collection_id", "held").agg(F.count(F.lit(1)).alias("n"))
     more = Window.partitionBy("collection_id").orderBy(F.desc("held"))
     ranks = histogram.select("collection_id", "held", (F.sum("n").over(more) - F.col("n") + 1).alias("rank"))
-    heavy = histogram.orderBy(F.desc("n"), "collection_id", "held").limit(HEAVY_KEYS).select("collection_id", "held")
+    heavy = histogram.where(F.col("n") > HEAVY_ROWS).select("collection_id", "held")
     return lookup_join(owners, ranks, ["collection_id", "held"], spread="owner", heavy=heavy).select(
         "collection_id", F.col("owner").alias("address"), F.col("held").alias("count"), "rank")
 
