@@ -258,7 +258,12 @@ def tx_block_time(tx: DataFrame, slot_times: DataFrame) -> DataFrame:
 
 def infer_core_event(touches: DataFrame, stored: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Events of touched core assets whose call was not decoded, from what the latest snapshot
-    says against what is stored. An unknown asset is inserted, and minted unless decoded."""
+    says against what is stored. An unknown asset is inserted, and minted unless decoded.
+
+    An asset's first touch applies the snapshot; what touches it later finds nothing changed. Within a slot a decoded
+    call comes first."""
+    order = F.struct("slot", (~F.col("decoded")).alias("late"), "signature")
+    touches = touches.groupBy("address").agg(F.min_by(F.struct("signature", "collection_id", "slot", "decoded"), order).alias("t")).select("address", "t.*")
     seen = snapshots.select("address", F.nullif("owner", F.lit("")).alias("_new_owner"), F.col("burned").alias("_new_burned"))
     have = stored.select("address", F.col("owner").alias("_old_owner"), F.col("burned").alias("_old_burned"))
     rows = touches.join(seen, "address").join(have, "address", "left")

@@ -151,13 +151,13 @@ def attribute_lists(attributes: DataFrame) -> DataFrame:
 
 def nft_detail(assets: DataFrame, collections: DataFrame, attributes: DataFrame, history: DataFrame,
                activity: DataFrame) -> DataFrame:
-    """Everything shown about an asset; removed and burned ones included."""
-    slugs = collections.select(F.col("id").alias("collection_id"), F.col("slug").alias("collection_slug"), "standard")
+    """Everything shown about an asset of an enabled collection; removed and burned ones included."""
+    slugs = collections.where("enabled").select(F.col("id").alias("collection_id"), F.col("slug").alias("collection_slug"), "standard")
     acquired = activity.select(F.col("id").alias("_opened_by"), F.col("signature").alias("acquired_by_signature"))
     since = holder_since(assets, history).drop("owner").join(acquired, "_opened_by", "left").drop("_opened_by")
     asset = assets.select("id", "address", "collection_id", "name", "number", "symbol", "burned", "owner",
                           "owner_slot", "membership_status", "removed_at")
-    out = asset.join(slugs, "collection_id", "left").join(since, "id", "left")
+    out = asset.join(slugs, "collection_id").join(since, "id", "left")
     for piece in (attribute_lists(attributes), mint_info(activity), activity_summary(activity, history)):
         out = out.join(piece.withColumnRenamed("asset_id", "id"), "id", "left")
     return out

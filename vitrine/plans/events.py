@@ -228,7 +228,7 @@ def _(d):
     a.membership_status, a.removed_at, c.slug as collection_slug, c.standard, s.held_since, s.held_since_slot,
     o.signature as acquired_by_signature, t.attributes, m.minted_at, m.mint_slot, m.mint_signature,
     y.sales_count, y.transfer_count, y.owner_count, y.last_sale_price_lamports, y.last_sale_at, y.last_sale_marketplace
-  from assets a left join collections c on c.id = a.collection_id left join since s on s.id = a.id
+  from assets a join (select * from collections where enabled) c on c.id = a.collection_id left join since s on s.id = a.id
   left join activity o on o.id = s.opened
   left join (select asset_id, '[' || string_agg('{"position":' || position || ',"traitType":"' || trait_type
       || '","value":"' || value || '","isFacet":' || is_facet || '}', ',' order by position, trait_type, value) || ']'

@@ -185,14 +185,16 @@ def _(d):
 
 
 @query("infer_core_event", with_("core_calls observed stored", """
-  select t.signature, t.mint as address, t.collection_id, t.slot, s.id is null as "insert",
-    k.kind, case when k.kind <> 'mint' then s.owner end as from_owner,
-    case when k.kind is null or k.kind <> 'burn' then nullif(o.owner, '') end as to_owner
-  from core_calls t join observed o on o.address = t.mint left join stored s on s.address = t.mint,
-    lateral (select case when t.kind is not null then null when s.id is null then 'mint' when o.burned and not s.burned then 'burn'
-      when nullif(o.owner, '') is distinct from s.owner and nullif(o.owner, '') is not null then 'transfer' end as kind) k
-  where k.kind is not null or s.id is null""".replace("case when k.kind is null or k.kind <> 'burn' then", "case when k.kind <> 'burn' then")
-                                 .replace("case when k.kind <> 'mint' then s.owner end", "case when k.kind <> 'mint' then s.owner end")))
+  with firsts as (select * from (select *, row_number() over (partition by mint order by slot, kind is null, signature) as nth from core_calls)
+    where nth = 1),
+  compared as (
+    select f.signature, f.mint as address, f.collection_id, f.slot, s.id is null as fresh, s.owner as had, nullif(o.owner, '') as has,
+      case when f.kind is null then case when s.id is null then 'mint' when o.burned > s.burned then 'burn'
+        when coalesce(nullif(o.owner, '') <> s.owner, o.owner <> '' and s.owner is null) then 'transfer' end end as kind
+    from firsts f join observed o on o.address = f.mint left join stored s on s.address = f.mint)
+  select signature, address, collection_id, slot, fresh as "insert", kind, case when kind <> 'mint' then had end as from_owner,
+    case when kind <> 'burn' then has end as to_owner
+  from compared where fresh or kind is not null"""))
 def _(d):
     touches = decode.core_touches(decode.core_calls(facts(d), d.collections()))
     return decode.infer_core_event(touches, d.stored_assets(), d.observed())
