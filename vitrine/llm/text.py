@@ -1,8 +1,8 @@
 """Words of whole texts as byte offsets and hashes, vectorised over an Arrow string column.
 
 A word is a run of bytes other than space and \\x09-\\x0D. Those are single ASCII bytes, so
-splitting UTF-8 bytes there is the same as splitting characters. Work goes through slices of a
-few megabytes; only one longer text can make a slice larger."""
+splitting UTF-8 bytes there is the same as splitting characters. Work goes through slices of
+SLICE_BYTES, as each byte takes some tens of bytes at work; only one longer text can make a slice larger."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
