@@ -90,6 +90,30 @@ def test_near_copies(spark):
     assert simhash.near_copies(frame(spark, [])).count() == 0
 
 
+def test_near_copies_of_any_edit(spark):
+    """Pairs a little above the limit are found, whatever the kind of edit."""
+    rnd = random.Random(11)
+    words = [f"v{i}" for i in range(5000)]
+    some = lambda n: [rnd.choice(words) for _ in range(n)]
+    for edit in ("scattered", "appended", "inserted", "block"):
+        rows = []
+        for i in range(60):
+            base = some(250)
+            copy, at = list(base), rnd.randrange(220)
+            if edit == "scattered":
+                for j in rnd.sample(range(250), 5):
+                    copy[j] = "new"
+            elif edit == "appended":
+                copy += some(55)
+            elif edit == "inserted":
+                copy[at:at] = some(45)
+            else:
+                copy[at: at + 20] = some(20)
+            rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        got = simhash.near_copies(frame(spark, rows)).where("not head").collect()
+        assert all(r.doc_id == r.head_id + 1 for r in got) and len(got) >= 58, edit
+
+
 def test_substring(spark, monkeypatch):
     rows = texts()
     for chunk in (100_000, 7):  # chunks that cut the rows of one anchor

@@ -23,8 +23,11 @@ from vitrine.session import write_table
 
 RADIUS = 3
 SEED = 42
-# near_copies: fingerprints for each document, so that most of what is alike enough meets in one of them
-PRINTS = 6
+# near_copies: MinHash bands of each text. Of pairs with Jaccard similarity j, (1 - j ** BAND_ROWS) ** BANDS meet in none:
+# 0.5 % at 0.8, whatever the kind of edit
+BANDS, BAND_ROWS = 10, 4
+_rng = np.random.default_rng(SEED)
+_ADD, _TIMES = _rng.integers(0, 1 << 64, (2, BANDS, BAND_ROWS), dtype=np.uint64) | np.array([0, 1], np.uint64)[:, None, None]
 # ids are broadcast up to this many, about 50 MB; beyond, both sides are shuffled
 BROADCAST_IDS = 1_000_000
 # Above this many rows of one half value, rows are compared where a byte of the other half agrees.
@@ -163,34 +166,39 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def _word_prints(s: Slice, prints: int) -> np.ndarray:
-    """(rows, prints) fingerprints over the different words of each row; rows without words get 0."""
-    row = np.repeat(np.arange(len(s.counts)), s.counts)
+def _band_keys(s: Slice, width: int, bands: int) -> np.ndarray:
+    """(rows, bands) keys of each row: a hash of BAND_ROWS smallest shingle hashes, each by a permutation of its own. Rows
+    without words get 0."""
     lowered = Slice(s.first, np.frombuffer(s.data.tobytes().translate(LOWER), np.uint8), s.offsets, s.starts, s.ends, s.counts)
-    words = lowered.hashes()
-    once = np.unique(mix(words ^ mix(row.astype(np.uint64))), return_index=True)[1]
-    once = once[np.argsort(row[once], kind="stable")]
-    row, words = row[once], words[once]
-    out = np.zeros((len(s.counts), prints), np.uint64)
+    words, bounds = lowered.hashes(), s.bounds
+    row = np.repeat(np.arange(len(s.counts)), s.counts)
+    inside = np.flatnonzero(np.arange(len(words)) + width <= bounds[1:][row])  # shingles that don't cross rows
+    shingles, row = grams(words, width)[inside], row[inside]
+    short = np.flatnonzero((s.counts > 0) & (s.counts < width))
+    one = [grams(words[bounds[r]: bounds[r + 1]], int(s.counts[r])) for r in short]
+    row = np.concatenate([row, short])
+    order = np.argsort(row, kind="stable")
+    row, shingles = row[order], np.concatenate([shingles, *one])[order]
+    out = np.zeros((len(s.counts), bands), np.uint64)
     if len(row):
         begins = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        number = np.diff(np.append(begins, len(row)))
-        for k in range(prints):
-            bits = np.unpackbits(mix(words + np.uint64(k * 0x632BE59BD9B4E019 % (1 << 64))).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
-            out[row[begins], k] = np.packbits(2 * ones > number[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+        for band in range(bands):
+            key = np.full(len(begins), band, np.uint64)
+            for add, times in zip(_ADD[band], _TIMES[band]):
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((shingles ^ add) * times, begins))
+            out[row[begins], band] = key
     return out
 
 
-def _prints_of(prints: int):
+def _keys_of(width: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in slices(b.column(2)):
-                fps = _word_prints(s, prints).view(np.int64)
+                keys = _band_keys(s, width, bands).view(np.int64)
                 n = len(s.counts)
-                lists = pa.ListArray.from_arrays(np.arange(0, n * prints + 1, prints, dtype=np.int32), pa.array(fps.ravel()))
+                lists = pa.ListArray.from_arrays(np.arange(0, n * bands + 1, bands, dtype=np.int32), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, n), b.column(1).slice(s.first, n), lists, pa.array(s.counts)],
-                                                 ["doc_id", "version", "fps", "n_words"])
+                                                 ["doc_id", "version", "keys", "n_words"])
     return run
 
 
@@ -229,31 +237,30 @@ def join_ids(rows: DataFrame, ids: DataFrame, keys: list[str], how: str) -> Data
     return rows.join(F.broadcast(named) if few else named, same, how)
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, prints: int = PRINTS,
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, version, head_id, head_version, head) for each row: its group of near copies, named by the document with the
     smallest id, and whether it is that one. ``version`` is the MD5 of the text.
 
     Texts are near copies if the sets of their ``width``-word shingles (a shorter text is one shingle), A to Z in lower case,
-    have a Jaccard similarity of at least ``similarity``; groups follow links over others. Candidates are found by multi-index
-    hashing over ``prints`` fingerprints of a text's different words, each with its own hash: a similarity at the limit leaves
-    about 8 % of the words' bits apart, too many for one fingerprint. A candidate counts only after its shingles were compared.
+    have a Jaccard similarity of at least ``similarity``; groups follow links over others. Candidates share a MinHash band of
+    their shingles, so that only the similarity counts, not the kind of edit. A candidate counts only after its shingles were
+    compared.
     Equal texts are one group; NULL and empty texts are equal. NULL ids come last. Rows that repeat a doc_id and text stay or go
     together. Extra columns are left out; an empty table gives an empty table."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("version", F.md5("text"))
     marked = write_table(rows.select("doc_id", "version", "text").mapInArrow(
-        _prints_of(prints), "doc_id long, version string, fps array<long>, n_words long"), "prints")
+        _keys_of(width, BANDS), "doc_id long, version string, keys array<long>, n_words long"), "keys")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")).alias("first")
-    texts = marked.groupBy("version").agg(first, F.first("fps").alias("fps"), F.max("n_words").alias("n_words"))
-    tables = texts.where("n_words > 0").select("version", F.posexplode("fps").alias("of", "fp"))
-    tables = write_table(tables, "tables")
-    heads = tables.groupBy("of", "fp").agg(F.min("version").alias("head"))
-    links = fingerprint_links(heads.select("of", "fp"), F.col("of"))
-    u = heads.select(F.col("of"), F.col("fp").alias("u"), F.col("head").alias("a"))
-    v = heads.select(F.col("of"), F.col("fp").alias("v"), F.col("head").alias("b"))
-    far = links.join(u, ["of", "u"]).join(v, ["of", "v"]).select("a", "b")
-    same = tables.join(heads, ["of", "fp"]).select(F.col("version").alias("a"), F.col("head").alias("b"))
-    pairs = write_table(far.union(same).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    texts = marked.groupBy("version").agg(first, F.first("keys").alias("keys"), F.max("n_words").alias("n_words"))
+    tables = write_table(texts.where("n_words > 0").select("version", F.explode("keys").alias("key")), "tables")
+    buckets = tables.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = write_table(tables.join(buckets, "key"), "shared")
+    # all are compared with the one that meets most others: the original of its copies, if there is one
+    central = shared.groupBy("version").agg(F.sum("n").alias("met"))
+    heads = shared.join(central, "version").groupBy("key").agg(F.max(F.struct("met", "version"))["version"].alias("head"))
+    pairs = write_table(shared.join(heads, "key").where("version != head").select(
+        F.least("version", "head").alias("a"), F.greatest("version", "head").alias("b")).distinct(), "pairs")
     asked = write_table(pairs.select(F.col("a").alias("version")).union(pairs.select("b")).distinct(), "asked")
     shingles = join_ids(rows.select("version", "text"), asked, ["version"], "left_semi").mapInArrow(_shingles_of(width), "version string, shingles binary")
     shingles = write_table(shingles.dropDuplicates(["version"]), "shingles")
