@@ -114,6 +114,60 @@ def test_near_copies_of_any_edit(spark):
         assert all(r.doc_id == r.head_id + 1 for r in got) and len(got) >= 58, edit
 
 
+def test_near_copies_around_one_original(spark):
+    """Copies alike to the original but not to one another are one group, also where one print or bucket is cut up; so are
+    chains, and groups around two originals stay two."""
+    rnd = random.Random(12)
+    words = [f"v{i}" for i in range(5000)]
+    some = lambda n: [rnd.choice(words) for _ in range(n)]
+    base, far = some(300), some(300)
+    rows = []
+    for b in (base, far):
+        for i in range(150):
+            copy = list(b)
+            for j in rnd.sample(range(10, 290), 5):
+                copy[j] = f"new{rnd.random()}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(1000, " ".join(base)), (1001, " ".join(far))]
+    sets = [simhash_shingles(t) for _, t in rows[:150]]
+    among = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]]
+    assert sum(x < 0.8 for x in among) > 0.9 * len(among) and all(len(s & simhash_shingles(rows[-2][1])) >= 0.8 * len(s | simhash_shingles(rows[-2][1])) for s in sets)
+    chain = [some(200)]
+    for _ in range(30):
+        chain.append([*chain[-1][15:], *some(15)])
+    rows += [(2000 + i, " ".join(c)) for i, c in enumerate(chain)]
+    want = {d: 0 if d < 150 or d == 1000 else 150 if d < 1002 else 2000 for d, _ in rows}
+    for cell_bytes in (simhash.CELL_BYTES, 20_000):
+        got = {r.doc_id: r.head_id for r in simhash.near_copies(frame(spark, rows), cell_bytes=cell_bytes).collect()}
+        assert {d for d in want if got[d] != want[d]} == set()
+
+
+def test_join_parts_compares_every_pair():
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(4)
+    for _ in range(30):
+        n = 40
+        centres = [rnd.integers(0, 1 << 30, 60) for _ in range(4)]
+        sets = []
+        for i in range(n):
+            own = centres[rnd.integers(0, 4)].copy()
+            own[rnd.choice(60, rnd.integers(1, 9), replace=False)] = rnd.integers(0, 1 << 30)
+            sets.append(np.unique(own.astype(np.uint32)))
+        root = [f"{int(x):02d}" for x in rnd.integers(0, 30, n)]
+        alike = [(i, j) for i in range(n) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+        given = [(i, root.index(root[i])) for i in range(n)]
+        links = simhash._join_parts(0.8)(pa.table({"version": [str(i) for i in range(n)], "root": root, "shingles": [s.tobytes() for s in sets]}))
+        links = [(int(a), int(b)) for a, b in zip(links["a"].to_pylist(), links["b"].to_pylist())]
+        assert all((a, b) in alike or (b, a) in alike for a, b in links)
+        assert brute.components(n, given + links) == brute.components(n, given + alike)
+
+
+def simhash_shingles(text):
+    w = text.split()
+    return {tuple(w[i: i + 5]) for i in range(len(w) - 4)}
+
+
 def test_substring(spark, monkeypatch):
     rows = texts()
     for chunk in (100_000, 7):  # chunks that cut the rows of one anchor

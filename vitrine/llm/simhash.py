@@ -28,6 +28,8 @@ SEED = 42
 BANDS, BAND_ROWS = 10, 4
 _rng = np.random.default_rng(SEED)
 _ADD, _TIMES = _rng.integers(0, 1 << 64, (2, BANDS, BAND_ROWS), dtype=np.uint64) | np.array([0, 1], np.uint64)[:, None, None]
+# near_copies: shingles of one block of a bucket, and what each of its texts counts besides
+CELL_BYTES, CELL_TEXT = 4 << 20, 512
 # ids are broadcast up to this many, about 50 MB; beyond, both sides are shuffled
 BROADCAST_IDS = 1_000_000
 # Above this many rows of one half value, rows are compared where a byte of the other half agrees.
@@ -229,6 +231,74 @@ def _alike(similarity: float):
     return run
 
 
+def _join_parts(similarity: float):
+    """Members of one cell (version, root, shingles) to links (a, b) that join its roots over pairs alike. Every pair of
+    members of different roots is compared unless other pairs have joined them."""
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.select(["version", "root", "shingles"]).combine_chunks()
+        version, shingles = rows["version"].to_pylist(), rows["shingles"].to_pylist()
+        part = np.unique(np.array(rows["root"].to_pylist(), object), return_inverse=True)[1]
+        size = np.array([len(s) // 4 for s in shingles])
+        begins = np.cumsum(size) - size
+        words, ids = np.unique(np.frombuffer(b"".join(shingles), np.uint32), return_inverse=True)
+        mark = np.zeros(len(words), bool)
+        found, left = [], np.ones(len(version), bool)
+        while left.any():
+            queue = np.flatnonzero(left & (part == part[np.argmax(left)])).tolist()
+            left[queue] = False
+            while queue and left.any():
+                i = queue.pop()
+                others = np.flatnonzero(left)
+                others = others[np.minimum(size[others], size[i]) >= similarity * np.maximum(size[others], size[i]) - 1e-9]
+                own = ids[begins[i]: begins[i] + size[i]]
+                mark[own] = True
+                for at in range(0, len(others), 256):
+                    some = others[at: at + 256]
+                    some = some[left[some]]
+                    if not len(some):
+                        continue
+                    ends = np.cumsum(size[some])
+                    of = np.repeat(begins[some] - ends + size[some], size[some]) + np.arange(ends[-1])
+                    both = np.add.reduceat(mark[ids[of]], ends - size[some], dtype=np.int64)
+                    for j in some[both >= similarity * (size[i] + size[some] - both) - 1e-9]:
+                        if left[j]:
+                            found.append((version[i], version[j]))
+                            reached = np.flatnonzero(left & (part == part[j]))
+                            left[reached] = False
+                            queue += reached.tolist()
+                mark[own] = False
+        return pa.table({"a": pa.array([a for a, _ in found], pa.string()), "b": pa.array([b for _, b in found], pa.string())})
+    return run
+
+
+def _part_links(shared: DataFrame, roots: DataFrame, shingles: DataFrame, similarity: float, cell_bytes: int) -> DataFrame:
+    """Links (a, b) between texts of one bucket that ``roots`` (node, root) leaves in different parts.
+
+    A bucket's members meet in one cell while their shingles fit ``cell_bytes``. The members of a larger one are dealt into blocks, apart
+    for its largest part and the rest: each block of the rest meets itself and all other blocks, so every pair of parts meets."""
+    placed = shared.where("n > 2").join(roots, shared["version"] == roots["node"], "left").select(  # of two, both were compared
+        "key", "version", F.coalesce("root", "version").alias("root"))
+    parts = write_table(placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size")), "parts")
+    open_keys = parts.groupBy("key").agg(F.max(F.struct("size", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    sizes = shingles.select("version", F.length("shingles").alias("bytes"))
+    members = write_table(placed.join(open_keys.select("key", "main"), "key").join(sizes, "version").select(
+        "key", "version", "root", "bytes", (F.col("root") == F.col("main")).alias("in_main")), "members")
+    total = lambda where: F.sum(F.when(where, F.col("bytes") + CELL_TEXT).otherwise(0))
+    blocks = lambda size: F.ceil(size / F.lit(cell_bytes)).cast("int")
+    plan = members.groupBy("key").agg(total(F.col("in_main")).alias("main"), total(~F.col("in_main")).alias("rest"))
+    plan = plan.withColumn("small", F.col("main") + F.col("rest") <= cell_bytes).select(
+        "key", F.when(F.col("small"), 1).otherwise(blocks(F.col("rest"))).alias("n_rest"),
+        F.when(F.col("small"), 0).otherwise(blocks(F.col("main"))).alias("n_main"))
+    dealt = members.join(plan, "key")
+    own = F.when(F.col("in_main") & (F.col("n_main") > 0), F.col("n_rest") + F.pmod(F.xxhash64("version"), F.col("n_main"))).otherwise(
+        F.pmod(F.xxhash64("version"), F.col("n_rest"))).cast("int")
+    dealt = dealt.withColumn("own", own)
+    met = F.sequence(F.lit(0), F.when(F.col("own") < F.col("n_rest"), F.col("n_rest") + F.col("n_main")).otherwise(F.col("n_rest")) - 1)
+    cells = dealt.select("version", "root", "key", "own", F.explode(met).alias("met")).select(
+        "version", "root", F.struct("key", F.least("own", "met").alias("one"), F.greatest("own", "met").alias("other")).alias("cell"))
+    return cells.join(shingles, "version").groupBy("cell").applyInArrow(_join_parts(similarity), "a string, b string")
+
+
 def join_ids(rows: DataFrame, ids: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Semi or anti join of wide ``rows`` with ``ids``, NULL equal to NULL: broadcast where their counted number allows."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -237,7 +307,7 @@ def join_ids(rows: DataFrame, ids: DataFrame, keys: list[str], how: str) -> Data
     return rows.join(F.broadcast(named) if few else named, same, how)
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8,
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, cell_bytes: int = CELL_BYTES,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, version, head_id, head_version, head) for each row: its group of near copies, named by the document with the
     smallest id, and whether it is that one. ``version`` is the MD5 of the text.
@@ -245,7 +315,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     Texts are near copies if the sets of their ``width``-word shingles (a shorter text is one shingle), A to Z in lower case,
     have a Jaccard similarity of at least ``similarity``; groups follow links over others. Candidates share a MinHash band of
     their shingles, so that only the similarity counts, not the kind of edit. A candidate counts only after its shingles were
-    compared.
+    compared: first with the most central text of each band, then between all texts of a band that are in different parts yet.
     Equal texts are one group; NULL and empty texts are equal. NULL ids come last. Rows that repeat a doc_id and text stay or go
     together. Extra columns are left out; an empty table gives an empty table."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("version", F.md5("text"))
@@ -267,6 +337,9 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     both = (pairs.join(shingles.select(F.col("version").alias("a"), F.col("shingles").alias("one")), "a")
             .join(shingles.select(F.col("version").alias("b"), F.col("shingles").alias("other")), "b").select("a", "b", "one", "other"))
     roots = components(both.mapInArrow(_alike(similarity), "a string, b string"), "a", "b")
+    more = write_table(_part_links(shared, roots, shingles, similarity, cell_bytes), "more")
+    if not more.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "a", "b")
     placed = texts.join(roots, texts["version"] == roots["node"], "left").select("version", "first", F.coalesce("root", "version").alias("root"))
     names = placed.groupBy("root").agg(F.min(F.struct("first", "version")).alias("head"))
     named = placed.join(names, "root").select("version", F.col("head.first.doc_id").alias("head_id"), F.col("head.version").alias("head_version"))
