@@ -102,6 +102,19 @@ def test_near_duplicates(spark):
     assert vectors.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_group_larger_than_a_shard(spark):
+    """A linked group several times the size of a shard: links between its shards count too."""
+    rnd = np.random.default_rng(8)
+    centre = rnd.normal(0, 1, 8)
+    x = np.concatenate([centre + rnd.normal(0, 0.06, (500, 8)), rnd.normal(0, 1, (100, 8))])
+    data = [(i, v.astype("f4").tolist(), 1) for i, v in enumerate(x)]
+    df = frame(spark, data)
+    found = vectors.near_duplicates(df, shard_nodes=60).cache()
+    got, want = sorted((tuple(r) for r in found.collect()), key=str), near_want(data)
+    assert vectors.recall(df, found, 1) >= 0.99 and all(g[1] <= w[1] for g, w in zip(got, want))
+    assert [g[2] for g in got] == [w[2] for w in want]
+
+
 def test_graph_reaches_dense_groups():
     """Hundreds of copies around one centre, which has not room for links to them all."""
     rnd = np.random.default_rng(3)

@@ -4,8 +4,10 @@ Equal vectors of a label are one node, with a weight. Nodes are dealt into overl
 while it fits a task; a larger one is clustered on a bounded sample, and each node goes to its OVERLAP nearest
 clusters, until all shards fit. Each shard builds a graph: candidates are a node's nearest ones and some far ones,
 and robust pruning keeps at most DEGREE neighbours: the NEAREST first, then none much closer to a kept one than to the node. The
-adjacency lists of a node are united over its shards. Every node is then searched from the medoid of its first
-shard: a greedy beam walk, then, once in range, on through all neighbours in range. Found links are verified by
+adjacency lists of a node are united over its shards. Every node is then searched in its home shard from its medoid: a
+greedy beam walk, then, once in range, on through all neighbours in range. It is also compared with the nodes at home in
+each other shard of its label whose centre and radius allow a link, in blocks; a link is counted at the home of the
+node found, so once. Found links are verified by
 their cosine in double precision; links are counted and joined to parts where they are found, never sent as pairs.
 
 ``recall`` measures the links found against brute force."""
@@ -202,6 +204,57 @@ def _build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": ids, "near": [ids[g[g >= 0]] for g in graph]})
 
 
+def _bound(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The centre of a shard's home nodes and the largest angle to it."""
+    x = unit(rows["vector"])
+    centre = x.sum(0)
+    length = np.sqrt((centre ** 2).sum())
+    centre = centre / length if length > 0 else x[0]
+    radius = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+    return pd.DataFrame({"shard": [key[0]], "centre": [centre.tolist()], "radius": [radius]})
+
+
+def _reaches(threshold: float):
+    """Nodes of one home and the bounds of other shards to (shard, node) where a link is possible."""
+    reach = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
+
+    def run(key: tuple, own: pd.DataFrame, bounds: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(bounds):
+            return pd.DataFrame({"shard": pd.Series([], dtype=str), "node": pd.Series([], dtype="int64")})
+        centres, names = np.array(bounds["centre"].tolist(), np.float64), bounds["other"].to_numpy(object)
+        near = np.arccos(np.clip(unit(own["vector"]) @ centres.T, -1, 1)) <= bounds["radius"].to_numpy() + reach
+        who, where = np.nonzero(near)
+        return pd.DataFrame({"shard": names[where], "node": own["node"].to_numpy()[who]})
+    return run
+
+
+def _compare(threshold: float):
+    """Nodes from elsewhere against the nodes at home in a shard: exact."""
+    def run(key: tuple, guests: pd.DataFrame, homes: pd.DataFrame) -> pd.DataFrame:
+        if not len(guests) or not len(homes):
+            return pd.DataFrame({"node": [], "links": [], "part": []}).astype("int64")
+        x, own = unit(homes["vector"]), homes["node"].to_numpy(np.int64)
+        weight = homes["weight"].to_numpy(np.int64)
+        ids, vectors = guests["node"].to_numpy(np.int64), guests["vector"]
+        out = []
+        for at in range(0, len(ids), 512):
+            hit = unit(vectors.iloc[at: at + 512]) @ x.T >= threshold
+            node = ids[at: at + 512]
+            some = hit.any(1)
+            out.append((node[some], hit[some] @ weight, own[hit[some].argmax(1)]))
+            # each node found is joined to one that found it; those of one finder are joined by it
+            found = np.flatnonzero(hit.any(0))
+            out.append((own[found], np.zeros(len(found), np.int64), node[hit[:, found].argmax(0)]))
+            for q in np.flatnonzero(some):  # and each finder to all it found: over the smallest of a chain
+                v = np.flatnonzero(hit[q])
+                if (hit[:, v].argmax(0) != q).any() and len(v) > 1:
+                    firsts = np.unique(hit[:, v].argmax(0))
+                    out.append((node[firsts], np.zeros(len(firsts), np.int64), np.full(len(firsts), node[q])))
+        node, links, part = (np.concatenate([o[i] for o in out]) for i in range(3))
+        return pd.DataFrame({"node": node, "links": links, "part": part}).astype("int64").groupby(["node", "part"], as_index=False)["links"].sum()[["node", "links", "part"]]
+    return run
+
+
 def _search(threshold: float):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node", ignore_index=True)
@@ -214,10 +267,10 @@ def _search(threshold: float):
         graph = np.full((len(ids), max(1, int(size.max()))), -1)
         graph[np.repeat(np.arange(len(ids)), size), np.arange(len(near)) - np.repeat(np.cumsum(size) - size, size)] = at
         homes = np.flatnonzero(rows["home"].to_numpy())
-        weight = rows["weight"].to_numpy(np.int64)
+        weight, at_home = rows["weight"].to_numpy(np.int64), rows["home"].to_numpy()
         links, part = np.zeros(len(ids), np.int64), np.arange(len(ids))
         for q, v in range_search(x, graph, homes, threshold):
-            links += np.bincount(q, weight[v], len(ids)).astype(np.int64)
+            links += np.bincount(q, weight[v] * at_home[v], len(ids)).astype(np.int64)
             while True:  # each part takes the smallest number among its links
                 a, b = part[q], part[v]
                 apart = a != b
@@ -244,12 +297,29 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     shards = overlapping_shards(nodes, shard_nodes)
     near = shards.groupBy("shard").applyInPandas(_build, "node long, near array<long>")
     near = write_table(near.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "near")
-    inside = shards.select("shard", "node", "home", F.lit(0).alias("guest"))
-    guests = (shards.where("home").join(near, "node").select("shard", F.explode("near").alias("node")).distinct()
-              .select("shard", "node", F.lit(False).alias("home"), F.lit(1).alias("guest")))
-    members = inside.unionByName(guests).groupBy("shard", "node").agg(F.max("home").alias("home"))
-    members = members.join(nodes, "node").join(near, "node")
-    found = write_table(members.groupBy("shard").applyInPandas(_search(threshold), "node long, links long, part long"), "found")
+    members = shards.select("shard", "node", "vector", "weight", "home").join(near, "node")
+    inside = members.groupBy("shard").applyInPandas(_search(threshold), "node long, links long, part long")
+    # shards of labels that were cut
+    cut = write_table(shards.where(F.col("home") & F.rlike("shard", F.lit("/[0-9]+$"))), "cut")
+    bounds = write_table(cut.groupBy("shard").applyInPandas(_bound, "shard string, centre array<double>, radius double")
+                         .withColumn("space", F.regexp_replace("shard", "(/[0-9]+)+$", "")), "bounds")
+    others = bounds.select("space", F.col("shard").alias("other"), F.col("centre").alias("c"), F.col("radius").alias("r"))
+    dot = F.aggregate(F.zip_with("centre", "c", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    pairs = bounds.join(others, "space").where(
+        (F.col("shard") != F.col("other"))
+        & (F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) <= F.col("radius") + F.col("r") + float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6))
+    pairs = pairs.select("shard", "other", F.col("c").alias("centre"), F.col("r").alias("radius"))
+    asked = cut.select("shard", "node", "vector").groupBy("shard").cogroup(pairs.groupBy("shard")).applyInPandas(
+        _reaches(threshold), "shard string, node long")
+    # queries of one shard are dealt into blocks, each with the shard's nodes
+    asked = write_table(asked, "asked")
+    blocks = write_table(asked.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARD_NODES)).cast("int").alias("n")), "blocks")
+    guests = asked.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    guests = write_table(guests.join(cut.select("node", "vector"), "node").select("shard", "block", "node", "vector"), "guests")
+    homes = cut.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("shard", "block", "node", "vector", "weight")
+    across = guests.groupBy("shard", "block").cogroup(homes.groupBy("shard", "block")).applyInPandas(
+        _compare(threshold), "node long, links long, part long")
+    found = write_table(inside.unionByName(across), "found")
     roots = components(found.select("node", "part"), "node", "part")
     placed = (found.groupBy("node").agg(F.sum("links").alias("links")).join(roots, "node", "left")
               .join(nodes.select("node", "label", "vector", "weight"), "node")
