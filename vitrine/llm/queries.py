@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import crawl, licenses, mixing, packing, quality, simhash, substring, topk, toxicity, vectors, warc
+from vitrine.llm import crawl, licenses, mixing, negatives, packing, quality, simhash, substring, topk, toxicity, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -159,3 +159,26 @@ def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = crawl.crawl(table(spark, sf_dir, "pages"))
     lines = F.array_sort(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])))
     return warc.resolve_revisits(warc.parse_warc(records)).withColumn("headers", F.array_join(lines, "\n"))
+
+
+@query("op11_hard_negatives", """
+with v as (
+  select distinct vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label,
+    list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q
+  from embeddings where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, b.vec_id as row_id, a.label = b.label as same,
+    cast(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) as bigint) as score
+  from v a join v b on a.vec_id <> b.vec_id and len(a.q) = len(b.q) where a.vec_id % 100 = 0),
+p as (
+  select anchor_id, row_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, row_id) <= 5)
+select p.anchor_id, positive_id, cast(row_number() over (partition by p.anchor_id, positive_id order by score desc, row_id) as int) as rank,
+  row_id as negative_id, positive_score, score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify rank <= 10""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return negatives.hard_negatives(rows, rows.where(F.col("vec_id") % 100 == 0))
