@@ -257,7 +257,7 @@ def test_encoder_equals_tokenizer(monkeypatch):
     monkeypatch.setattr(packing, "CACHED_WORDS", 500)
     rnd = random.Random(1)
     signs = ["a", "Z", "é", "É", "×", "÷", "'", "’", "s", "'s", "'T", "ll", "'ll", ",", ".", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "startoftext", "́", "̸",
-             "<", "=", "5", "٣", "ß", "İ", "K", "漢", " ", "\n", "\u0085", "#", "$$", "-", "_", "ñ", "\x1c", "\x00", "😀", "|"]
+             "<", "=", "5", "٣", "ß", "İ", "K", "漢", " ", "\n", "\u0085", "#", "$$", "-", "_", "ñ", "\x1c", "\x00", "😀", "|", "｜"]
     rows = ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 30))) for _ in range(3000)]
     plain, encoder = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path())
     for s in slices(pa.array(rows), size=20_000):

@@ -22,11 +22,12 @@ LENGTH = 2048
 GROUP_DOCS = 20_000
 SEED = 17
 CACHED_WORDS = 300_000
+JOINED = 256
 PIECE = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
 class Encoder:
-    """Token ids of texts, one call of the tokenizer for each different word.
+    """Token ids of texts, each different word given to the tokenizer once.
 
     This tokenizer's pre-tokenizer drops white space and always cuts between a letter and another sign than an
     apostrophe; nothing before it looks across such a cut. So a text's ids are those of the parts so cut, in a row.
@@ -36,6 +37,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.sign = self.tokenizer.encode("|", add_special_tokens=False).ids[0]
         self.keep(np.zeros(0, np.int64))
 
     def keep(self, codes: np.ndarray) -> None:
@@ -69,18 +71,42 @@ class Encoder:
             order = np.argsort(-self.uses, kind="stable")[: CACHED_WORDS // 2]
             self.keep(np.sort(order[self.uses[order] > 1]))
         codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-        counts, flat = [], []
-        for at in range(0, len(self.fresh), 1024):  # an encoding is far larger than its ids
-            for e in self.tokenizer.encode_batch_fast([w.decode() for w in self.fresh[at: at + 1024]], add_special_tokens=False):
-                ids = e.ids
-                counts.append(len(ids))
-                flat += ids
+        ids, counts = self._learned(self.fresh)
         self.fresh = []
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.array(counts, np.int64))])
-        self.flat = np.concatenate([self.flat, np.array(flat, np.uint32)])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(counts)])
+        self.flat = np.concatenate([self.flat, ids])
         self.uses = np.concatenate([self.uses, np.zeros(len(counts), np.int64)]) + np.bincount(codes, minlength=len(self.codes))
         return self._of(codes)
 
+    def _learned(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words in a row, and the number of each. JOINED words go into one text, between signs whose id tells them apart."""
+        alone = [b"|" in w for w in words]
+        plain = [w.decode() for w, a in zip(words, alone) if not a]
+        counts, own, size = np.zeros(len(words), np.int64), [], []
+        texts = [" | ".join(plain[at: at + JOINED]) for at in range(0, len(plain), JOINED)]
+        for at in range(0, len(texts), 4):  # an encoding is far larger than its ids
+            for n, e in enumerate(self.tokenizer.encode_batch_fast(texts[at: at + 4], add_special_tokens=False), at):
+                got = np.array(e.ids, np.int64)
+                sign = got == self.sign
+                part = plain[n * JOINED: (n + 1) * JOINED]
+                if sign.sum() != len(part) - 1:  # a word has that id of its own
+                    each = [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.int64) for w in part]
+                    own += each
+                    size.append(np.array([len(x) for x in each]))
+                    continue
+                cut = np.concatenate([[-1], np.flatnonzero(sign), [len(got)]])
+                own.append(got[~sign])
+                size.append(np.diff(cut) - 1)
+        single = [np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.int64) for w, a in zip(words, alone) if a]
+        is_alone = np.array(alone, bool)
+        counts[~is_alone] = np.concatenate([np.zeros(0, np.int64), *size])
+        counts[is_alone] = [len(x) for x in single]
+        ids = np.zeros(int(counts.sum()), np.uint32)
+        mine = np.repeat(is_alone, counts)
+        ids[~mine] = np.concatenate([np.zeros(0, np.int64), *own])
+        ids[mine] = np.concatenate([np.zeros(0, np.int64), *single])
+        return ids, counts
+
     def encode_rows(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a slice in a row, and the number of ids of each row."""
         data, offsets = np.frombuffer(s.data.tobytes().translate(LOWER), np.uint8), s.offsets
