@@ -4,6 +4,7 @@ Targets: sources share ``share`` times all words by weight; none exceeds ``repea
 words, and what one can't take is shared again among the others by weight. A source's documents are
 dealt at random into shards of about SHARD_DOCS. Blocks of BLOCK words are then given to the shards
 by highest quotients, weight / (2 k + 1) for a shard's k-th block from 0, which fixes an integer quota per shard.
+A shard that is due less than one block, or all that repetition allows, gets a quota cut to the word instead.
 Within a shard the documents stand in seeded order; its quota is met by whole passes and, for the rest,
 blocks of that stream in a seeded order, the last of them cut to fit.
 
@@ -114,16 +115,21 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
         "cell", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), "shard"))
     cells = dealt.groupBy("source", "shard").agg(
         F.sum("size").alias("words"), F.max("source_size").alias("all"), F.max("target").alias("target"))
+    most = F.col("words") * repeat
     cells = write_table(cells.select(
         "source", "shard", "words", F.when(F.col("all") > 0, F.col("target") * F.col("words") / F.col("all")).otherwise(0.0).alias("weight"),
-        F.floor(F.col("words") * repeat / F.lit(BLOCK)).cast("long").alias("cap")), "cells")
-    total = cells.agg(F.sum("weight")).first()[0] or 0.0
-    quotas = apportion(cells, round(total / BLOCK), ["source", "shard"]).select(
-        F.col("source").alias("of"), F.col("shard").alias("at"), "words", "seats")
+        F.ceil(most / F.lit(BLOCK)).cast("long").alias("cap")), "cells")
+    # a target under one block, or at the cap, is met to the word by a cut block; the others share whole blocks
+    exact = (F.col("weight") < BLOCK) | (F.col("weight") > most - 0.5)
+    whole = cells.where(~exact)
+    total = whole.agg(F.sum("weight")).first()[0] or 0.0
+    quotas = (apportion(whole, round(total / BLOCK), ["source", "shard"]).withColumn("quota", F.least(F.col("seats") * BLOCK, most))
+              .drop("seats").unionByName(cells.where(exact).withColumn("quota", F.least(F.round("weight").cast("long"), most))))
+    quotas = quotas.select(F.col("source").alias("of"), F.col("shard").alias("at"), "words", "quota")
     stream = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size")
     ordered = dealt.withColumn("end", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)))
     placed = ordered.join(quotas, F.col("source").eqNullSafe(F.col("of")) & (F.col("shard") == F.col("at")))
-    quota = F.col("seats") * BLOCK
+    quota = F.col("quota")
     placed = (placed.withColumn("passes", F.when(F.col("words") > 0, F.floor(quota / F.col("words"))).otherwise(0).cast("long"))
               .withColumn("rest", quota - F.col("passes") * F.col("words"))
               .withColumn("blocks", F.ceil(F.col("words") / F.lit(BLOCK)).cast("long"))
