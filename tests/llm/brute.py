@@ -73,7 +73,7 @@ def substring(docs, window=13):
 
 def licenses(docs, table, phrases, confidence):
     """[(doc_id, text)] to sorted op6 rows without the score's rounding."""
-    compiled = [(label, priority, keyword, re.compile(f"(?<= )(?:{pattern})(?= )", re.ASCII)) for label, priority, keyword, pattern in table]
+    compiled = [(label, priority, re.compile(f"(?<= )(?:{pattern})(?= )", re.ASCII)) for label, priority, _, pattern in table]
     out = []
     for d, t in docs:
         low = lower(t)
@@ -87,8 +87,7 @@ def licenses(docs, table, phrases, confidence):
             places += at
             if at:
                 labels.add(label)
-        found = [(m.start(), m.end(), priority, i, label) for i, (label, priority, keyword, pattern) in enumerate(compiled)
-                 if keyword in low for m in pattern.finditer(norm)]
+        found = [(m.start(), m.end(), priority, i, label) for i, (label, priority, pattern) in enumerate(compiled) for m in pattern.finditer(norm)]
         kept = set()
         for s, e, p, i, label in found:
             worse = False

@@ -14,6 +14,9 @@ from vitrine.llm.queries import fold, tokenizer_path
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score double, version string, h long, stats string, label int"
 
 
+GPL = "GNU General Public License version 2"
+
+
 def texts():
     rnd = random.Random(11)
     vocabulary = [f"w{i}" for i in range(60)] + ["Été", "naïve,", "don't", "A.", "漢字"]
@@ -205,12 +208,48 @@ def test_repeats_in_chunks():
 
 
 def test_licenses(spark):
-    rows = texts() + [(22, "the mit license " * 300), (23, "Creative Commons Attribution-NonCommercial 4.0, all rights reserved; SPDX-License-Identifier: MIT")]
+    rows = texts() + [(22, "the mit license " * 300), (23, "Creative Commons Attribution-NonCommercial 4.0, all rights reserved; SPDX-License-Identifier: MIT"),
+                      (5000, GPL), (None, GPL), (None, GPL), (5001, "Free Public Licence 1.0.0"), (5002, "either version 2 of the Licence, or (at your option) any later version"),
+                      (5003, "PSF licence"), (5004, "see the licence"), (5005, "released under the terms of the Foo Licence")]
     got = [(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, ",".join(r.base_labels), ",".join(r.labels), round(r.score, 5))
            for r in licenses.scan_licenses(frame(spark, rows)).collect()]
     assert sorted(got, key=str) == brute.licenses(rows, license_rules.rules(), licenses.PHRASES, licenses.CONFIDENCE)
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
     assert len(license_rules.rules()) >= 200
+    labels = {str(g[0]): g[6] for g in got}
+    assert labels["5000"] == "gpl-2" and all(g[6] == "gpl-2" for g in got if g[0] is None and g[1] == len(GPL.split()))
+    assert all(labels[str(i)] for i in range(5001, 5006))
+
+
+def shortest(pattern):
+    """Texts that stand for every alternative of a pattern, with nothing optional."""
+    from re import _constants as c, _parser
+
+    def texts_of(tree):
+        out = [""]
+        for op, arg in tree:
+            if op is c.LITERAL:
+                more = [chr(arg)]
+            elif op is c.IN:
+                more = [chr(a[1]) if a[0] is c.LITERAL else chr(a[1][0]) if a[0] is c.RANGE else "z" for a in arg if a[0] is not c.NEGATE]
+            elif op is c.BRANCH:
+                more = [t for branch in arg[1] for t in texts_of(branch)]
+            elif op is c.SUBPATTERN:
+                more = texts_of(arg[3])
+            elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
+                more = [t * arg[0] for t in (texts_of(arg[2]) if arg[0] else [""])]
+            else:
+                assert op in (c.ANY, c.NOT_LITERAL), op
+                more = ["z"]
+            out = [a + b for a in out for b in more]
+        return out
+
+    return texts_of(_parser.parse(pattern))
+
+
+def test_license_keywords_are_part_of_every_match():
+    for label, _, keyword, pattern in license_rules.rules():
+        assert all(keyword in t for t in shortest(pattern)), (label, keyword, pattern)
 
 
 def test_packing(spark):
@@ -267,6 +306,22 @@ def test_encoder_equals_tokenizer(monkeypatch):
             assert ids[end - n: end].tolist() == plain.encode(rows[s.first + r], add_special_tokens=False).ids
 
 
+def test_mixing_of_small_sources(spark):
+    """With blocks of 256 words: sources below a block, and the ones at their caps, get their targets to the word."""
+    words = lambda n: " ".join(["w"] * n)
+    rows = [(1, words(100), "a"), (2, words(50), "b"), (3, words(70_000), "c"), (4, "", "d"), (5, words(1), "e"), (6, words(400), "f"), (None, words(30), None)]
+    rows += [(10 + i, words(200), "c") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(df).collect()
+    taken, target = {}, {}
+    for r in got:
+        assert r.taken <= 2 * r["size"] and r.taken == r.passes * r["size"] + sum(s.length for s in r.slices)
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        target[r.source] = r.target
+    assert {s: taken[s] for s in ("a", "b", "d", "e", "f", None)} == {"a": 200, "b": 100, "d": 0, "e": 2, "f": 800, None: 60}
+    assert abs(taken["c"] - target["c"]) <= 256
+
+
 @pytest.mark.parametrize("shard_docs", [20_000, 3])
 def test_mixing(spark, monkeypatch, shard_docs):
     monkeypatch.setattr(mixing, "SHARD_DOCS", shard_docs)

@@ -21,7 +21,8 @@ isc | 3 | permission | permission to use copy modify and or distribute this soft
 isc | 2 | isc | isc licen[cs]e
 isc | 2 | isc | licensed under (?:the )?isc
 0bsd | 3 | 0bsd | spdx license identifier 0bsd
-0bsd | 3 | bsd | (?:zero clause bsd|bsd zero clause|free public licen[cs]e 1 0 0)
+0bsd | 3 | bsd | zero clause bsd|bsd zero clause
+0bsd | 3 | public | free public licen[cs]e 1 0 0
 bsd-2-clause | 3 | bsd | spdx license identifier bsd 2 clause
 bsd-2-clause | 3 | bsd | (?:simplified|freebsd) bsd licen[cs]e|(?:2|two) clause bsd|bsd (?:2|two) clause
 bsd-3-clause | 3 | bsd | spdx license identifier bsd 3 clause
@@ -51,14 +52,14 @@ gpl-2 | 3 | gpl | (?:gnu )?gpl ?(?:version |v ?)?2(?: 0)?(?: only)?
 gpl-2 | 3 | gplv2 | gplv2(?: only)?
 gpl-2 | 3 | franklin | 51 franklin (?:street|st) fifth floor boston
 gpl-2-or-later | 3 | gpl | spdx license identifier gpl 2 0 or later
-gpl-2-or-later | 3 | license | either version 2 of the licen[cs]e or at your option any later version
+gpl-2-or-later | 3 | either | either version 2 of the licen[cs]e or at your option any later version
 gpl-2-or-later | 3 | gnu | gnu general public licen[cs]e version 2 or (?:at your option )?(?:any )?later
 gpl-3 | 3 | gpl | spdx license identifier gpl 3 0 only
 gpl-3 | 3 | gnu | gnu general public licen[cs]e (?:version |v )?3(?: 0)?
 gpl-3 | 3 | gpl | (?:gnu )?gpl ?(?:version |v ?)?3(?: 0)?(?: only)?
 gpl-3 | 3 | gplv3 | gplv3(?: only)?
 gpl-3-or-later | 3 | gpl | spdx license identifier gpl 3 0 or later
-gpl-3-or-later | 3 | license | either version 3 of the licen[cs]e or at your option any later version
+gpl-3-or-later | 3 | either | either version 3 of the licen[cs]e or at your option any later version
 gpl-3-or-later | 3 | gnu | gnu general public licen[cs]e version 3 or (?:at your option )?(?:any )?later
 gpl | 2 | gnu | gnu general public licen[cs]e
 gpl | 2 | gnu | gnu gpl
@@ -161,7 +162,8 @@ artistic-1.0 | 3 | artistic | artistic licen[cs]e (?:version |v )?1 0
 artistic-2.0 | 3 | artistic | artistic licen[cs]e (?:version |v )?2 0
 artistic | 2 | artistic | artistic licen[cs]e
 perl | 2 | perl | same terms as perl(?: itself)?
-python-2.0 | 3 | python | (?:python software foundation|psf) licen[cs]e(?: version 2)?
+python-2.0 | 3 | python | python software foundation licen[cs]e(?: version 2)?
+python-2.0 | 3 | psf | psf licen[cs]e(?: version 2)?
 python-2.0 | 2 | python | python licen[cs]e
 php-3.01 | 3 | php | php licen[cs]e (?:version |v )?3 01
 php | 2 | php | php licen[cs]e
@@ -226,8 +228,8 @@ research-only | 1 | research | for research (?:purposes|use) only
 eula | 2 | user | end user licen[cs]e agreement
 eula | 2 | eula | eula
 copyright | 1 | copyright | copyright (?:c )?(?:19|20)[0-9]{2}
-license-hint | 1 | licens | (?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the |a )?(?:[^ ]+ ){0,6}licen[cs]e
-license-hint | 1 | license | see (?:the )?licen[cs]e(?: file)?(?: for (?:more )?details)?
+license-hint | 1 | licen | (?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the |a )?(?:[^ ]+ ){0,6}licen[cs]e
+license-hint | 1 | licen | see (?:the )?licen[cs]e(?: file)?(?: for (?:more )?details)?
 license-hint | 1 | spdx | spdx license identifier [^ ]+
 """
 

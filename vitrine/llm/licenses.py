@@ -83,7 +83,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     kept = resolve(intervals(scanned)).groupBy("doc_id", "version").agg(
         F.array_sort(F.collect_set(F.struct("label", "priority"))).alias("detections"))
-    hit = scanned.drop("found").join(kept, ["version", "doc_id"], "left")
+    kept = kept.withColumnsRenamed({"doc_id": "of", "version": "at"})
+    hit = scanned.drop("found").join(kept, (F.col("version") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("of")), "left")
     by_label = F.coalesce("detections", F.array().cast("array<struct<label:string,priority:int>>"))
     doubt = lambda p: F.element_at(F.create_map(*[F.lit(x) for k, v in CONFIDENCE.items() for x in (k, 1 - v)]), p)
     detected = F.aggregate(by_label, F.lit(1.0), lambda d, x: d * doubt(x["priority"]))
