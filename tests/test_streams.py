@@ -4,6 +4,7 @@ import json
 import random
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from vitrine.operators.intervals import interval_rebuild
@@ -24,39 +25,68 @@ def random_events(rng, asset, n):
     return out
 
 
-def fold(rows):
-    """The rule restated: what is open, since when, is it burned."""
-    out, open_, burned = {}, None, False
+def fold(rows, frontier=()):
+    """The rule restated, event by event: what is open, since when, is it burned; and the asset row."""
+    out = {}
+    states = {f[0]: [f[1:3] if f[1] is not None else None, f[3], f[4], f[5]] for f in frontier}
     for asset, _, id_, slot, kind, sender, to in rows:
+        state = states.setdefault(asset, [None, False, None, None])
+        open_, burned, owner, owner_slot = state
         if kind == "list":
-            out[id_] = (False, False, False)
+            out[id_] = (False, False, False, False)
         elif (open_ and slot < open_[1]) or (burned and kind != "burn") or (open_ and sender and sender != open_[0]):
-            out[id_] = (False, False, True)
+            out[id_] = (False, False, True, False)
         else:
-            out[id_] = (to is not None, open_ is not None, False)
-            open_ = (to, slot) if to else None
-            burned = burned or kind == "burn"
+            moved = not burned if kind == "burn" else bool(to) and (owner_slot is None or slot > owner_slot) and owner != to
+            out[id_] = (to is not None, open_ is not None, False, moved)
+            state[0] = (to, slot) if to else None
+            state[1] = burned or kind == "burn"
+            if moved:
+                state[2:] = [None, None] if kind == "burn" else [to, slot]
+    return out, {a: (s[1], s[2], s[3]) for a, s in states.items()}
+
+
+def random_frontier(rng, assets):
+    out = []
+    for a in assets:
+        burned = rng.random() < 0.1
+        opened = not burned and rng.random() < 0.5
+        row = not burned and rng.random() < 0.6
+        out.append((a, rng.choice("abcd") if opened else None, rng.randint(0, 40) if opened else None, burned,
+                    rng.choice("abcd") if row else None, rng.choice([None, rng.randint(0, 90)]) if row else None))
     return out
 
 
-def test_record_events_equals_the_fold(spark):
+@pytest.mark.parametrize("block_rows", [200_000, 40, 7])
+def test_record_events_equals_the_fold(spark, block_rows):
+    """Also with one asset over many blocks, some of them passed without an event taken."""
     rng = random.Random(3)
-    groups = [random_events(rng, a, rng.randint(1, 25)) for a in range(1, 60)]
-    want = {}
-    for g in groups:
-        want |= fold(g)
-    df = spark.createDataFrame([r for g in groups for r in g], ROW)
-    nothing = spark.createDataFrame([], "asset_id BIGINT, open_owner STRING, open_from BIGINT, burned BOOLEAN")
-    got = {r.id: (r.opened, r.closed, r.dirty) for r in ownership.record_events(df, nothing).collect()}
-    assert got == want
-    assert any(v[2] for v in want.values()) and any(v[0] for v in want.values())
+    groups = [random_events(rng, a, rng.randint(1, 25)) for a in range(1, 40)]
+    groups.append(random_events(rng, 40, 300))
+    stuck = random_events(rng, 41, 120)
+    stuck[20] = (*stuck[20][:3], 10_000, "transfer", None, "a")  # later slots than all that follow
+    stuck[90] = (*stuck[90][:3], 10_001, "transfer", "a", "b")
+    rows = [r for g in [*groups, stuck] for r in g]
+    frontier = random_frontier(rng, range(1, 40, 2))
+    want, after = fold(rows, frontier)
+    df = spark.createDataFrame(rows, ROW)
+    applied = ownership.record_events(df, spark.createDataFrame(frontier, ownership.FRONTIER), block_rows)
+    found = applied.collect()
+    assert {r.id: (r.opened, r.closed, r.dirty, r.owner_moved) for r in found} == want and len(found) == len(rows)
+    assert all((r.owner is not None) == r.opened for r in found)
+    assert any(v[2] for v in want.values()) and any(v[0] for v in want.values()) and any(v[3] for v in want.values())
+    if block_rows == 7:
+        assets = spark.createDataFrame([(f[0], f[3], f[4], f[5], "x") for f in frontier], "id BIGINT, burned BOOLEAN, owner STRING, owner_slot BIGINT, kind STRING")
+        got = ownership.asset_rows_after(assets, applied)
+        assert {r.id: (r.burned, r.owner, r.owner_slot) for r in got.collect()} == {f[0]: after[f[0]] for f in frontier}
+        assert ownership.record_events(df.limit(0), spark.createDataFrame([], ownership.FRONTIER)).count() == 0
 
 
 def test_clean_assets_agree_with_the_rebuild(spark):
     rng = random.Random(5)
     rows = [r for a in range(1, 30) for r in random_events(rng, a, 12)]
     df = spark.createDataFrame(rows, ROW)
-    nothing = spark.createDataFrame([], "asset_id BIGINT, open_owner STRING, open_from BIGINT, burned BOOLEAN")
+    nothing = spark.createDataFrame([], ownership.FRONTIER)
     applied = ownership.record_events(df, nothing)
     dirty = ownership.dirty_assets(applied)
     cols = ["asset_id", "owner", "from_slot", "to_slot", "opened_by", "closed_by"]

@@ -174,14 +174,58 @@ def arrivals(d):
 
 
 def frontier(d):
-    return d.asset_base().where(F.col("id") % 6 == 0).select(
-        F.col("id").alias("asset_id"), spark_key(text("walletold", F.col("id"))).alias("open_owner"),
-        F.lit(100).cast("long").alias("open_from"), F.lit(False).alias("burned"))
+    """Open intervals and asset rows before the events: some held, some observed later than many events, some burned."""
+    i, none = F.col("id"), F.lit(None)
+    burned, held, seen = i % 50 == 9, (i % 50 != 9) & (i % 6 == 0), (i % 50 != 9) & (i % 6 == 1)
+    old = spark_key(text("walletold", i))
+    return d.asset_base().where(burned | held | seen).select(
+        i.alias("asset_id"), F.when(held, old).alias("open_owner"), F.when(held, F.lit(100)).cast("long").alias("open_from"), burned.alias("burned"),
+        F.when(~burned, old).alias("owner"), F.when(held, F.lit(100)).when(seen, F.lit(1500)).otherwise(none).cast("long").alias("owner_slot"))
+
+
+FRONTIER_SQL = f"""
+  select id as asset_id, case when b then null when h then o end as open_owner, case when not b and h then 100 end as open_from, b as burned,
+    case when not b then o end as owner, case when not b then case when h then 100 else 1500 end end as owner_slot
+  from (select id, id % 50 = 9 as b, id % 6 = 0 as h, {key("'walletold' || id")} as o from asset_base where id % 50 = 9 or id % 6 < 2)"""
+RECORDED = """
+  with recursive ev as (
+    select *, row_number() over (partition by asset_id order by arrival) as n from (
+      select id, asset_id, slot, kind, from_owner, to_owner, (slot + case when id % 9 = 0 then 40 else 0 end) * 1000000 + id % 1000000 as arrival from activity)),
+  st as (
+    select a.asset_id, cast(0 as bigint) as n, f.open_owner, cast(f.open_from as bigint) as open_from, coalesce(f.burned, false) as burned, f.owner,
+      cast(f.owner_slot as bigint) as owner_slot, cast(null as bigint) as id, false as opened, false as closed, false as dirty, false as owner_moved
+    from (select distinct asset_id from ev) a left join fr f on f.asset_id = a.asset_id
+    union all
+    select asset_id, n, case when taken then to_owner else open_owner end, case when not taken then open_from when to_owner is not null then slot end,
+      burned or (taken and kind = 'burn'), case when not moved then owner when kind <> 'burn' then to_owner end,
+      case when not moved then owner_slot when kind <> 'burn' then slot end, id, taken and to_owner is not null, taken and open_owner is not null,
+      kind in ('mint', 'transfer', 'sale', 'burn') and not taken, moved
+    from (
+      select *, taken and case kind when 'burn' then not burned
+          else to_owner is not null and coalesce(slot > owner_slot, true) and to_owner is distinct from owner end as moved
+      from (
+        select e.*, s.open_owner, s.open_from, s.burned, s.owner, s.owner_slot,
+          e.kind in ('mint', 'transfer', 'sale', 'burn') and coalesce(s.open_from <= e.slot, true) and (e.kind = 'burn' or not s.burned)
+            and coalesce(s.open_owner = e.from_owner, true) as taken
+        from st s join ev e on e.asset_id = s.asset_id and e.n = s.n + 1)))"""
+
+
+@query("record_event", with_("activity asset_base", RECORDED + """
+  select e.asset_id, e.arrival, e.id, e.slot, e.kind, st.opened, st.closed, st.dirty, case when st.opened then e.to_owner end as owner, st.owner_moved
+  from st join ev e on e.asset_id = st.asset_id and e.n = st.n""", fr=FRONTIER_SQL))
+def _(d):
+    return ownership.record_events(arrivals(d), frontier(d))
 
 
-@query("record_event")
+@query("record_event_assets", with_("activity asset_base", RECORDED + """
+  select f.asset_id as id, coalesce(s.burned, f.burned) as burned, case when s.asset_id is null then f.owner else s.owner end as owner,
+    case when s.asset_id is null then f.owner_slot else s.owner_slot end as owner_slot
+  from fr f left join (select * from st qualify row_number() over (partition by asset_id order by n desc) = 1) s on s.asset_id = f.asset_id""",
+                                    fr=FRONTIER_SQL))
 def _(d):
-    return ownership.record_events(arrivals(d), frontier(d))
+    before = frontier(d)
+    rows = before.select(F.col("asset_id").alias("id"), "burned", "owner", "owner_slot")
+    return ownership.asset_rows_after(rows, ownership.record_events(arrivals(d), before))
 
 
 @query("record_event_clean", with_("history", """
@@ -190,9 +234,7 @@ def _(d):
     where from_owner <> po or pk = 'burn')"""))
 def _(d):
     rows = scan(d.activity(), ["asset_id"], ["slot", "seq", "id"], {"arrival": row_number()})
-    nothing = d.asset_base().limit(0).select(F.col("id").alias("asset_id"), F.col("address").alias("open_owner"),
-                                             F.lit(0).cast("long").alias("open_from"), F.lit(False).alias("burned"))
-    applied = ownership.record_events(rows, nothing)
+    applied = ownership.record_events(rows, d.spark.createDataFrame([], ownership.FRONTIER))
     spans = ownership.live_intervals(applied)
     dirty = applied.where("dirty").select("asset_id").distinct()
     return spans.join(dirty, "asset_id", "left_anti")

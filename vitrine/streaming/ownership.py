@@ -6,102 +6,62 @@ from all stored events by ``interval_rebuild``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vitrine.functions.scalar import PUBLIC_KINDS
+from vitrine.operators.chains import BLOCK_ROWS, follow
 from vitrine.operators.merge import first_of
-from vitrine.operators.ordered import lag, lead, row_number, scan
-
-APPLIED = "asset_id BIGINT, arrival BIGINT, id BIGINT, slot BIGINT, kind STRING, opened BOOLEAN, closed BOOLEAN, dirty BOOLEAN, owner STRING"
-
-
-class Frontier:
-    """What one asset's next event is judged by."""
-
-    __slots__ = ("owner", "since", "open", "burned")
-
-    def __init__(self, owner=None, since=None, burned=False):
-        self.owner, self.since, self.burned = owner, since, burned
-        self.open = since is not None
-
-    def apply(self, slot: int, kind: str, sender: str | None, receiver: str | None) -> tuple[bool, bool, bool]:
-        """(opened, closed, dirty)"""
-        if kind not in PUBLIC_KINDS:
-            return False, False, False
-        late = self.open and slot < self.since
-        revives = self.burned and kind != "burn"
-        stranger = self.open and sender is not None and sender != self.owner
-        if late or revives or stranger:
-            return False, False, True
-        closed, self.open = self.open, receiver is not None
-        if self.open:
-            self.owner, self.since = receiver, slot
-        self.burned = self.burned or kind == "burn"
-        return self.open, closed, False
-
-
-def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fold rows sorted by (asset, arrival). Only the current asset's frontier is held, across
-    Arrow batches, so no asset's events are ever gathered in memory."""
-    asset, state = None, Frontier()
-    for frame in frames:
-        frame = frame.astype(object).where(frame.notna(), None)
-        out = []
-        for row in frame.itertuples(index=False):
-            if row.asset_id != asset:
-                asset = row.asset_id
-                state = Frontier(row.open_owner, row.open_from, bool(row.burned))
-            opened, closed, dirty = state.apply(row.slot, row.kind, row.from_owner, row.to_owner)
-            out.append((row.asset_id, row.arrival, row.id, row.slot, row.kind, opened, closed, dirty, row.to_owner if opened else None))
-        yield pd.DataFrame(out, columns=["asset_id", "arrival", "id", "slot", "kind", "opened", "closed", "dirty", "owner"])
-
-
-def in_sequence(events: DataFrame, frontier: DataFrame) -> DataFrame:
-    """Mark the assets none of whose events could be refused, judging each event by the one
-    before it as if all had been applied. ``clean`` is exact: where no event breaks the
-    sequence, applying in order refuses nothing."""
-    public = events.where(F.col("kind").isin(*PUBLIC_KINDS))
-    before = F.struct("slot", "to_owner", (F.col("kind") == "burn").alias("burn"))
-    chained = scan(public, ["asset_id"], ["arrival"], {"prev": lag(before)})
-    first = chained.join(frontier, "asset_id", "left")
-    start = F.col("prev").isNull()
-    open_owner = F.when(start, F.col("open_owner")).otherwise(F.col("prev.to_owner"))
-    since = F.when(start, F.col("open_from")).otherwise(F.when(F.col("prev.to_owner").isNotNull(), F.col("prev.slot")))
-    # a burn before this event makes every other kind suspect; the fold decides
-    burned = F.when(start, F.coalesce("burned", F.lit(False))).otherwise(F.col("prev.burn") | F.coalesce("burned", F.lit(False)))
-    bad = (F.col("slot") < since) | (burned & (F.col("kind") != "burn")) | (F.col("from_owner") != open_owner)
-    return first.groupBy("asset_id").agg((~F.bool_or(F.coalesce(bad, F.lit(False)))).alias("clean"))
-
-
-def record_events(events: DataFrame, frontier: DataFrame) -> DataFrame:
-    """What each event did, in arrival order. ``events``: activity rows with ``arrival``,
-    deduplicated; ``frontier``: (asset_id, open_owner, open_from, burned).
-
-    Assets whose events follow each other are settled by column expressions; only the others
-    are folded row by row, in constant memory."""
-    clean = in_sequence(events, frontier).where("clean").select("asset_id", F.lit(True).alias("_clean"))
-    marked = events.join(clean, "asset_id", "left")
-    cols = ["asset_id", "arrival", "id", "slot", "kind", "from_owner", "to_owner"]
-    public = F.col("kind").isin(*PUBLIC_KINDS)
-
-    easy = marked.where("_clean").select(*cols)
-    prev = scan(easy.where(public), ["asset_id"], ["arrival"], {"prev": lag(F.struct("to_owner"))})
-    easy_rows = prev.join(frontier.select("asset_id", "open_from"), "asset_id", "left").select(
-        "asset_id", "arrival", "id", "slot", "kind", F.col("to_owner").isNotNull().alias("opened"),
-        F.when(F.col("prev").isNull(), F.col("open_from").isNotNull()).otherwise(
-            F.col("prev.to_owner").isNotNull()).alias("closed"), F.lit(False).alias("dirty"), F.col("to_owner").alias("owner"))
-    silent = easy.where(~public).select(
-        "asset_id", "arrival", "id", "slot", "kind", F.lit(False).alias("opened"), F.lit(False).alias("closed"), F.lit(False).alias("dirty"),
-        F.lit(None).cast("string").alias("owner"))
-
-    hard = marked.where(F.col("_clean").isNull()).select(*cols).join(frontier, "asset_id", "left")
-    folded = hard.repartition("asset_id").sortWithinPartitions("asset_id", "arrival").mapInPandas(_fold, APPLIED)
-    return easy_rows.unionByName(silent).unionByName(folded)
+from vitrine.operators.ordered import lead, row_number, scan
+from vitrine.session import write_table
+
+APPLIED = ("asset_id BIGINT, arrival BIGINT, id BIGINT, slot BIGINT, kind STRING, opened BOOLEAN, closed BOOLEAN, dirty BOOLEAN, "
+           "owner STRING, owner_moved BOOLEAN")
+FRONTIER = "asset_id BIGINT, open_owner STRING, open_from BIGINT, burned BOOLEAN, owner STRING, owner_slot BIGINT"
+
+
+def _steps(rows: DataFrame, start: Column, slot: Column, sender: Column, receiver: Column, burn: Column) -> DataFrame:
+    arrival = F.when(start, F.lit(-1).cast("long")).otherwise(F.col("arrival")) if "arrival" in rows.columns else F.lit(-1).cast("long")
+    return rows.select("asset_id", arrival.alias("arrival"), start.alias("start"), slot.alias("slot"), sender.alias("sender"),
+                       receiver.alias("receiver"), burn.alias("burn"))
+
+
+def record_events(events: DataFrame, frontier: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """What each event did (APPLIED), in arrival order. ``events``: activity rows with ``arrival`` (not negative, different within an
+    asset), deduplicated; ``frontier`` (FRONTIER): the open interval and the asset row before them, of assets that have either.
+
+    ``opened`` and ``closed``: the intervals; ``dirty``: stored and not applied; ``owner``: of the opened interval; ``owner_moved``: the
+    asset row took the event's owner, or was burned by it."""
+    none, no, yes, col = F.lit(None).cast("string"), F.lit(False), F.lit(True), F.col
+    public, burn = col("kind").isin(*PUBLIC_KINDS), col("kind") == "burn"
+    starts = events.select("asset_id").distinct().join(frontier, "asset_id", "left").withColumn("burned", F.coalesce("burned", no))
+    starts = write_table(starts, "starts")
+    first = _steps(starts, yes, F.when(col("open_owner").isNotNull(), col("open_from")), none, col("open_owner"), col("burned"))
+    steps = first.unionByName(_steps(events.where(public), no, col("slot"), col("from_owner"), col("to_owner"), burn))
+    taken = write_table(follow(steps, "follow", block_rows), "taken")
+    judged = events.select("asset_id", "arrival", "id", "slot", "kind", "to_owner").join(taken, ["asset_id", "arrival"], "left")
+    judged = write_table(judged.withColumn("taken", F.coalesce("taken", no)), "judged")
+    standing = starts.where(~col("burned"))
+    movable = judged.where(col("taken") & ~burn & col("to_owner").isNotNull()).join(standing.select("asset_id"), "asset_id", "left_semi")
+    moves = follow(_steps(standing, yes, col("owner_slot"), none, col("owner"), no).unionByName(
+        _steps(movable, no, col("slot"), none, col("to_owner"), no)), "move", block_rows).where("taken").select("asset_id", "arrival")
+    burns = judged.where(col("taken") & burn).groupBy("asset_id").agg(F.min("arrival").alias("arrival"))
+    moves = moves.union(burns.join(standing.select("asset_id"), "asset_id", "left_semi")).withColumn("owner_moved", yes)
+    opened = col("taken") & col("to_owner").isNotNull()
+    return judged.join(moves, ["asset_id", "arrival"], "left").select(
+        "asset_id", "arrival", "id", "slot", "kind", opened.alias("opened"), F.coalesce("was_open", no).alias("closed"),
+        (public & ~col("taken")).alias("dirty"), F.when(opened, col("to_owner")).alias("owner"), F.coalesce("owner_moved", no).alias("owner_moved"))
+
+
+def asset_rows_after(assets: DataFrame, applied: DataFrame) -> DataFrame:
+    """``assets`` with owner, owner_slot and burned as the last event that moved each row left them."""
+    last = applied.where("owner_moved").groupBy("asset_id").agg(F.max_by(F.struct("kind", "owner", "slot"), "arrival").alias("_m"))
+    joined = assets.join(last.withColumnRenamed("asset_id", "id"), "id", "left")
+    moved, burn = F.col("_m").isNotNull(), F.col("_m.kind") == "burn"
+    return joined.withColumns({
+        "owner": F.when(~moved, F.col("owner")).when(~burn, F.col("_m.owner")), "owner_slot": F.when(~moved, F.col("owner_slot")).when(~burn, F.col("_m.slot")),
+        "burned": F.col("burned") | (moved & burn)}).select(*assets.columns)
 
 
 def live_intervals(applied: DataFrame) -> DataFrame:
@@ -116,7 +76,6 @@ def live_intervals(applied: DataFrame) -> DataFrame:
 # -- as a stream -------------------------------------------------------------------------
 EVENTS = ("id BIGINT, asset_id BIGINT, signature STRING, seq INT, slot BIGINT, kind STRING, from_owner STRING, to_owner STRING")
 EVENT_KEY = ["asset_id", "signature", "seq"]
-FRONTIER = "asset_id BIGINT, open_owner STRING, open_from BIGINT, burned BOOLEAN, batch BIGINT"
 
 
 def _earlier(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
