@@ -2,13 +2,14 @@
 
 import json
 import random
+import shutil
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from vitrine.operators.intervals import interval_rebuild
-from vitrine.streaming import deliveries, ownership
+from vitrine.streaming import deliveries, live, ownership
 
 ROW = "asset_id BIGINT, arrival BIGINT, id BIGINT, slot BIGINT, kind STRING, from_owner STRING, to_owner STRING"
 
@@ -118,23 +119,107 @@ def test_inbox_restart(spark, tmp_path):
     assert deliveries.read_inbox(spark, str(inbox)).count() == 4
 
 
-def test_ownership_stream(spark, tmp_path):
-    incoming, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
-
-    def send(rows):
-        spark.createDataFrame(rows, ownership.EVENTS).coalesce(1).write.mode("append").parquet(incoming)
-        ownership.start_ownership(spark, incoming, out, state).awaitTermination()
-
-    send([(1, 1, "s1", 0, 100, "mint", None, "a"), (2, 2, "s2", 0, 100, "mint", None, "x")])
-    send([(3, 1, "s3", 0, 200, "transfer", "a", "b"), (1, 1, "s1", 0, 100, "mint", None, "a")])
-    # late for asset 1; wrong sender for asset 2
-    send([(4, 1, "s4", 0, 150, "transfer", "a", "c"), (5, 2, "s5", 0, 300, "sale", "q", "y")])
-    applied = spark.read.parquet(out + "/applied")
-    flags = {r.id: (r.opened, r.closed, r.dirty) for r in applied.collect()}
-    assert flags == {1: (True, False, False), 2: (True, False, False), 3: (True, True, False),
-                     4: (False, False, True), 5: (False, False, True)}
-    latest = {}
-    for r in spark.read.parquet(out + "/frontier").orderBy("batch").collect():
-        latest[r.asset_id] = (r.open_owner, r.open_from)
-    assert latest == {1: ("b", 200), 2: ("x", 100)}
-    assert spark.read.parquet(out + "/events").count() == 5
+def live_events(rows):
+    """(id, asset, signature, slot, kind, sender, receiver) as rows of the stream; the collection is the asset's last digit."""
+    return [(i, a, a % 10, s, 0, slot, None, kind, sender, to) for i, a, s, slot, kind, sender, to in rows]
+
+
+class Live:
+    def __init__(self, spark, folder):
+        self.spark, self.out, self.folder = spark, f"{folder}/out", folder
+
+    def registry(self, enabled):
+        self.spark.createDataFrame([(c, c in enabled) for c in range(10)], "id INT, enabled BOOLEAN").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/registry")
+
+    def send(self, rows, frontier=None):
+        self.spark.createDataFrame(live_events(rows), live.EVENTS).coalesce(1).write.mode("append").parquet(f"{self.folder}/in")
+        self.run(frontier)
+
+    def run(self, frontier=None):
+        live.start_admission(self.spark, f"{self.folder}/in", f"{self.folder}/registry", self.out, f"{self.folder}/c1").awaitTermination()
+        live.start_ownership(self.spark, self.out, f"{self.folder}/c2", frontier).awaitTermination()
+
+    def flags(self):
+        return {r.id: (r.opened, r.closed, r.dirty, r.owner_moved) for r in live.read_applied(self.spark, self.out).collect()}
+
+    def history(self):
+        cols = ["asset_id", "owner", "from_slot", "to_slot", "opened_by", "closed_by"]
+        return sorted(map(tuple, live.read_history(self.spark, self.out).select(*cols).collect()), key=str)
+
+
+def test_live_ownership(spark, tmp_path):
+    stream = Live(spark, tmp_path)
+    stream.registry({1, 2, 3})
+    frontier = spark.createDataFrame([(3, "h", 50, False, "h", 60), (13, None, None, True, None, None)], ownership.FRONTIER)
+    stream.send([(1, 1, "s1", 100, "mint", None, "a"), (2, 2, "s2", 100, "mint", None, "x"), (6, 3, "s6", 70, "sale", "h", "i"),
+                 (7, 13, "s7", 80, "transfer", "h", "i"), (8, 4, "s8", 90, "mint", None, "z")], frontier)
+    assert stream.flags() == {1: (True, False, False, True), 2: (True, False, False, True), 6: (True, True, False, True), 7: (False, False, True, False)}
+    stream.registry({1, 2, 3, 4})  # enabled between two batches
+    stream.send([(3, 1, "s3", 200, "transfer", "a", "b"), (1, 1, "s1", 100, "mint", None, "a"), (9, 4, "s9", 95, "mint", None, "z")])
+    # late for asset 1; wrong sender for asset 2; a listing
+    stream.send([(4, 1, "s4", 150, "transfer", "a", "c"), (5, 2, "s5", 300, "sale", "q", "y"), (10, 4, "s10", 99, "list", "z", None)])
+    got = stream.flags()
+    assert {i: got[i] for i in (3, 4, 5, 9, 10)} == {3: (True, True, False, True), 4: (False, False, True, False), 5: (False, False, True, False),
+                                                   9: (True, False, False, True), 10: (False, False, False, False)}
+    assert 8 not in got and spark.read.parquet(f"{stream.out}/held").count() == 1
+    rows = live.read_applied(spark, stream.out).orderBy("asset_id", "arrival").collect()
+    assert [r.arrival for r in rows if r.asset_id == 1] == [0, 1, 2] and {r.source for r in rows} == {"stream"}
+
+    def by_rebuild():
+        cols = ["asset_id", "owner", "from_slot", "to_slot", "opened_by", "closed_by"]
+        return sorted(map(tuple, interval_rebuild(live.read_applied(spark, stream.out)).select(*cols).collect()), key=str)
+
+    assert sorted(r.asset_id for r in live.dirty_assets(spark, stream.out).collect()) == [1, 2, 13]
+    assert live.rebuild_history(spark, stream.out) == 1
+    assert stream.history() == by_rebuild() and live.dirty_assets(spark, stream.out).count() == 0
+    # asset 1 went a, c, b by slot; it stands with b since 200, and asset 2 with y since 300: events that continue these are applied
+    stream.send([(11, 1, "s11", 400, "sale", "b", "d"), (12, 2, "s12", 400, "sale", "y", "w"), (14, 2, "s14", 200, "sale", "y", "w")])
+    got = stream.flags()
+    assert (got[11], got[12], got[14]) == ((True, True, False, True), (True, True, False, True), (False, False, True, False))
+    before = live.manifest(spark, stream.out)[2]
+    assert live.rebuild_history(spark, stream.out) == 2 and stream.history() == by_rebuild()
+    now = live.manifest(spark, stream.out)[2]
+    bucket_of = {r.asset_id: r.b for r in live.read_applied(spark, stream.out).select("asset_id", live.bucket().alias("b")).distinct().collect()}
+    assert {b for b in now if now[b] != before.get(b)} == {bucket_of[1], bucket_of[2]}  # the other buckets keep their files
+    assert live.rebuild_history(spark, stream.out) == 2  # nothing new
+    stream.run()
+
+
+def test_a_pass_that_broke_off(spark, tmp_path):
+    """A version without a manifest doesn't count, nor does it hinder the next try; standings that were not sent are sent then."""
+    stream = Live(spark, tmp_path)
+    stream.registry({1})
+    stream.send([(1, 1, "s1", 100, "mint", None, "a"), (2, 11, "t1", 100, "mint", None, "p")])
+    live.rebuild_history(spark, stream.out)
+    good = stream.history()
+    stream.send([(3, 1, "s2", 50, "transfer", None, "b")])
+    spark.createDataFrame([(1, "junk", 1, None, None, None, 1, None, 0)], f"{live.HISTORY}, bucket INT").write.partitionBy("bucket").parquet(f"{stream.out}/history/n=2")
+    assert stream.history() == good
+    shutil.rmtree(f"{stream.out}/admitted/version=1", ignore_errors=True)
+    assert live.rebuild_history(spark, stream.out) == 2
+    assert {r[1] for r in stream.history()} == {"a", "b", "p"} and live.is_done(spark, f"{stream.out}/admitted/version=1")
+
+
+def test_a_batch_run_again_sees_the_registry_it_saw(spark, tmp_path):
+    stream = Live(spark, tmp_path)
+    stream.registry({1})
+    stream.send([(1, 1, "s1", 100, "mint", None, "a"), (2, 2, "s2", 100, "mint", None, "b")])
+    first = stream.flags()
+    stream.registry({1, 2})
+    for state in ("c1", "c2"):  # as if the driver was lost before it committed the batch
+        for f in [*(tmp_path / state / "commits").glob("*0*")]:
+            f.unlink()
+    stream.run()
+    assert stream.flags() == first == {1: (True, False, False, True)}
+
+
+def test_the_state_gives_what_the_batch_operator_gives(spark):
+    rng = random.Random(8)
+    rows = [r for a in range(1, 40) for r in random_events(rng, a, 20)]
+    frontier = random_frontier(rng, range(1, 40, 2))
+    want, after = fold(rows, frontier)
+    states = {f[0]: (0, f[1], f[2], f[3], f[4], f[5]) for f in frontier}
+    for asset, _, id_, slot, kind, sender, to in rows:
+        states[asset], done = live.after(states.get(asset, (0, None, None, False, None, None)), {"kind": kind, "slot": slot, "from_owner": sender, "to_owner": to})
+        assert (*done[1:4], done[5]) == want[id_]
+    assert {a: s[3:] for a, s in states.items()} == after

@@ -6,14 +6,12 @@ from all stored events by ``interval_rebuild``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from vitrine.functions.scalar import PUBLIC_KINDS
 from vitrine.operators.chains import BLOCK_ROWS, follow
-from vitrine.operators.merge import first_of
-from vitrine.operators.ordered import lead, row_number, scan
+from vitrine.operators.ordered import lead, scan
 from vitrine.session import write_table
 
 APPLIED = ("asset_id BIGINT, arrival BIGINT, id BIGINT, slot BIGINT, kind STRING, opened BOOLEAN, closed BOOLEAN, dirty BOOLEAN, "
@@ -73,62 +71,5 @@ def live_intervals(applied: DataFrame) -> DataFrame:
         F.col("id").alias("opened_by"), F.col("next.id").alias("closed_by"))
 
 
-# -- as a stream -------------------------------------------------------------------------
-EVENTS = ("id BIGINT, asset_id BIGINT, signature STRING, seq INT, slot BIGINT, kind STRING, from_owner STRING, to_owner STRING")
-EVENT_KEY = ["asset_id", "signature", "seq"]
-
-
-def _earlier(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
-    """What batches before this one wrote."""
-    try:
-        rows = spark.read.schema(schema).parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        rows = spark.createDataFrame([], schema)
-    return rows.where(F.col("batch") < batch_id)
-
-
-def frontier_after(before: DataFrame, applied: DataFrame) -> DataFrame:
-    """Frontier of the assets a batch touched."""
-    moved = F.when(F.col("opened") | F.col("closed"), F.col("arrival"))
-    touched = applied.groupBy("asset_id").agg(
-        F.max_by(F.struct("opened", "owner", "slot"), moved).alias("m"),
-        F.bool_or((F.col("kind") == "burn") & ~F.col("dirty")).alias("burn"))
-    kept = F.col("m").isNull()
-    return touched.join(before, "asset_id", "left").select(
-        "asset_id", F.when(kept, F.col("open_owner")).when(F.col("m.opened"), F.col("m.owner")).alias("open_owner"),
-        F.when(kept, F.col("open_from")).when(F.col("m.opened"), F.col("m.slot")).alias("open_from"),
-        (F.coalesce("burned", F.lit(False)) | F.col("burn")).alias("burned"))
-
-
-def start_ownership(spark: SparkSession, incoming: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Stream parquet files of events: new ones are stored and applied in (slot, id) order of
-    their batch; ``out/applied`` tells what each did, ``out/frontier`` where each asset stands.
-
-    Each batch writes under its own id from what earlier batches wrote, so running it again
-    after a crash gives the same rows. Redelivered events write nothing."""
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        stored = _earlier(session, f"{out}/events", EVENTS + ", batch BIGINT", batch_id)
-        fresh = first_of(batch, EVENT_KEY, ["slot", "id"])
-        known = stored.join(fresh.select(*EVENT_KEY), EVENT_KEY, "left_semi").select(*EVENT_KEY)
-        fresh = fresh.join(known, EVENT_KEY, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out}/events/batch={batch_id}")
-        events = session.read.schema(EVENTS).parquet(f"{out}/events/batch={batch_id}")
-        states = _earlier(session, f"{out}/frontier", FRONTIER, batch_id)
-        fields = ["open_owner", "open_from", "burned"]
-        before = states.join(events.select("asset_id").distinct(), "asset_id", "left_semi").groupBy("asset_id").agg(
-            F.max_by(F.struct(*fields), "batch").alias("s")).select("asset_id", "s.*")
-        ordered = scan(events, ["asset_id"], ["slot", "id"], {"arrival": row_number()})
-        record_events(ordered, before).write.mode("overwrite").parquet(f"{out}/applied/batch={batch_id}")
-        applied = session.read.schema(APPLIED).parquet(f"{out}/applied/batch={batch_id}")
-        frontier_after(before, applied).write.mode("overwrite").parquet(f"{out}/frontier/batch={batch_id}")
-
-    rows = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 64).parquet(incoming)
-    return (rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
-
-
 def dirty_assets(applied: DataFrame) -> DataFrame:
     return applied.where("dirty").select("asset_id").distinct()
