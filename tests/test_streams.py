@@ -117,6 +117,26 @@ def test_inbox_restart(spark, tmp_path):
     assert got == ["s10", "s11", "s12", "s3"]
     deliveries.start_inbox(spark, str(incoming), str(inbox), str(state)).awaitTermination()
     assert deliveries.read_inbox(spark, str(inbox)).count() == 4
+    bad = sorted((r.reason, r.body) for r in deliveries.read_quarantine(spark, str(inbox)).collect())
+    assert bad == [("no signature", '{"slot":4}'), ("not json", "not json")]
+    counts = sorted((r.batch, r.landed, r.usable, r.quarantined) for r in deliveries.read_counts(spark, str(inbox)).collect())
+    assert counts == [(0, 2, 2, 0), (1, 5, 3, 2)]
+
+
+def test_landing_after_a_crash_between_its_sinks(spark, tmp_path):
+    incoming, inbox, state = tmp_path / "in", tmp_path / "inbox", tmp_path / "state"
+    put(incoming, body(("s10", 10)) + "\n{\"transaction\": {\"signatures\": [\"s1\"]}}\n[]")
+    deliveries.start_landing(spark, str(incoming), str(inbox), str(state / "landing")).awaitTermination()
+    files = lambda: sorted(f.name for f in (inbox / "landed").rglob("*.parquet"))
+    before = files()
+    for lost in ("quarantine", "counts"):
+        shutil.rmtree(inbox / lost)
+    for f in (state / "landing" / "commits").glob("*0*"):
+        f.unlink()
+    deliveries.start_inbox(spark, str(incoming), str(inbox), str(state)).awaitTermination()
+    assert files() == before and [r.signature for r in deliveries.read_inbox(spark, str(inbox)).collect()] == ["s10"]
+    assert [r.reason for r in deliveries.read_quarantine(spark, str(inbox)).collect()] == ["no slot"]
+    assert [(r.landed, r.usable, r.quarantined) for r in deliveries.read_counts(spark, str(inbox)).collect()] == [(2, 1, 1)]
 
 
 def live_events(rows):

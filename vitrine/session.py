@@ -1,4 +1,4 @@
-"""Session helpers: where durable intermediate results go."""
+"""Session helpers: where durable intermediate results go, and when a written table counts."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
@@ -43,3 +45,15 @@ def write_table(df: DataFrame, name: str, cluster_by: list[str] | None = None) -
         df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def is_done(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def write_once(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
+    """Write unless it was: readers may know the files of a finished table."""
+    if not is_done(df.sparkSession, path):
+        df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)

@@ -22,6 +22,7 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from vitrine.functions.scalar import PUBLIC_KINDS
 from vitrine.operators.intervals import interval_rebuild
+from vitrine.session import STATE_STORE, is_done, write_once
 from vitrine.streaming.ownership import FRONTIER
 
 EVENTS = ("id BIGINT, asset_id BIGINT, collection_id INT, signature STRING, seq INT, slot BIGINT, block_time TIMESTAMP, kind STRING, "
@@ -32,7 +33,6 @@ APPLIED = f"{EVENTS}, {DONE}"
 STANDING = "arrival BIGINT, held_by STRING, since BIGINT, burned BOOLEAN, row_owner STRING, row_slot BIGINT"
 HISTORY = "asset_id BIGINT, owner STRING, from_slot BIGINT, from_ts TIMESTAMP, to_slot BIGINT, to_ts TIMESTAMP, opened_by BIGINT, closed_by BIGINT"
 REBUILT, REBUILT_BURNED = "#rebuilt", "#rebuilt burned"  # kinds of the rows that a rebuild sends
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BUCKETS = 64
 SOURCE = "stream"
 
@@ -41,18 +41,6 @@ def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
-def is_done(spark: SparkSession, path: str) -> bool:
-    """Whether a table was written there to its end."""
-    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
-
-
-def write_once(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Write unless it was: readers may know the files of a finished table."""
-    if not is_done(df.sparkSession, path):
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-
-
 # -- admission ------------------------------------------------------------------------------
 def start_admission(spark: SparkSession, incoming: str, registry: str, out: str, checkpoint: str) -> StreamingQuery:
     """Stream parquet files of EVENTS: those of collections that ``registry`` (parquet: id, enabled) has enabled at the time of
@@ -132,7 +120,7 @@ def start_ownership(spark: SparkSession, out: str, checkpoint: str, frontier: Da
     events and its source. ``frontier`` (FRONTIER) is where assets stand before the first batch.
 
     Each batch's rows are written under its id in place of an earlier try's; the states of that try are not kept, so it gives the same rows."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     frontier = spark.createDataFrame([], FRONTIER) if frontier is None else frontier.select(*_names(FRONTIER))
 
     def keep(batch: DataFrame, batch_id: int) -> None:
