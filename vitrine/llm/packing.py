@@ -8,6 +8,7 @@ A group wastes at most a fraction of its last sequences, so padding does not dep
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from vitrine.llm.text import LOWER, Slice, slices
 LENGTH = 2048
 GROUP_DOCS = 20_000
 SEED = 17
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 JOINED = 256
 PIECE = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
@@ -34,6 +35,7 @@ class Encoder:
     ``flat[begin[c]: begin[c + 1]]`` are those of the part with code c."""
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads only keep memory of their own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
