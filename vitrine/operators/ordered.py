@@ -147,3 +147,15 @@ def _blocked(df: DataFrame, by: list[str], order: list[str], steps: dict[str, St
     joined = here.join(carried, keys)
     return joined.select(*df.columns, *[
         s.combine(F.col(n), F.col("_c_" + n)).alias(n) for n, s in steps.items()])
+
+
+def number_rows(df: DataFrame, order: list[str], name: str, after: int = 0) -> DataFrame:
+    """``df`` with ``name``: after + 1, after + 2 ... in ``order``, which has no ties, so the same rows get the same numbers.
+
+    Rows are numbered within range-partitioned blocks; a row per block carries the counts across."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = durable(df.repartitionByRange(parts, *order).withColumn("_block", F.spark_partition_id()))
+    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = blocks.groupBy("_block").count().select("_block", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_block").orderBy(*order))
+    return blocks.join(F.broadcast(counts), "_block").withColumn(name, place + F.col("_before") + F.lit(after).cast("long")).drop("_block", "_before")

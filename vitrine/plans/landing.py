@@ -9,7 +9,8 @@ from vitrine.operators import integrity, intervals, inventory, keys, registry, s
 from vitrine.operators.ordered import row_number, scan
 from vitrine.plans import sqlbase
 from vitrine.plans.common import Plans
-from vitrine.plans.sqlbase import COLL, key, sig, with_
+from vitrine.plans.sqlbase import COLL, CTES, key, sig, with_
+from vitrine.plans.state import UPSERTED
 from vitrine.sources import feeds
 from vitrine.sources.domain import key as spark_key
 from vitrine.sources.domain import text
@@ -89,38 +90,118 @@ def _(d):
     return merged.withColumn("traits", traits).drop("attributes")
 
 
-@query("snapshot_job", with_("merged mergedtraits assets asset_attributes", """
-  select coalesce(o.asset_id, n.asset_id) as asset_id, coalesce(o.trait_type, n.trait_type) as trait_type,
-    coalesce(o.value, n.value) as value, coalesce(n.position, o.position) as position,
-    case when o.asset_id is null then 'inserted' when n.asset_id is null then case when s.asset_id is not null then 'removed'
-      else 'kept' end when o.position = n.position then 'unchanged' else 'updated' end as action
-  from asset_attributes o full join (
-    select k + 1 as asset_id, trait_type, value, position from mergedtraits where k % 37 <> 0) n
-    on n.asset_id = o.asset_id and n.trait_type = o.trait_type and n.value = o.value
-  left join (select k + 1 as asset_id from merged where observed and k % 37 <> 0) s on s.asset_id = coalesce(o.asset_id, n.asset_id)"""))
+# a store without every nineteenth asset: documents of some that nobody fetches now, old or equal documents of some that are fetched
+AS_OF = "2024-03-03 00:00:00"
+JOB = dict(
+    storeddocs=f"""
+  select k + 1 as asset_id, k, case when k % 8 = 3 then 'https://old.example.com/' || k || '.json' else 'https://meta.example.com/' || {key("'asset' || k")} || '.json' end as source_uri
+  from (select p_partkey as k from part) where k % 19 <> 0 and k % 8 in (2, 3)""",
+    jobdocs=f"""
+  select k, address, source_uri, name, symbol, image from docs
+  union all select k, {key("'asset' || k")}, source_uri, 'Old ' || k, null, null from storeddocs where k % 8 = 3""",
+    jobmerged="""
+  select s.k, s.n + case when s.k % 37 = 0 then 1 else 0 end as home, s.address, coalesce(d.name, s.name, '') as name, coalesce(d.symbol, s.symbol) as symbol,
+    s.uri as metadata_uri, d.source_uri as metadata_source_uri, coalesce(d.image, s.image) as image_uri, s.burnt as burned,
+    case when not s.burnt then nullif(s.owner, '') end as owner, s.k % 4 in (1, 2) or s.k % 8 > 1 as observed
+  from snap s left join jobdocs d on d.k = s.k""",
+    jobtraits="""
+  select * from doctraits where k % 29 <> 0
+  union all select k, address, 'Doc', 'old', 0 from jobmerged where k % 8 = 3 and k % 19 <> 0
+  union all select * from snaptraits where k % 4 not in (1, 2) and not (k % 8 = 3 and k % 19 <> 0)""",
+    batch="select address, home as collection_id, name, symbol, metadata_uri, metadata_source_uri, image_uri, burned, owner, cast(4300 as bigint) as owner_slot, home as ord from jobmerged",
+    ups=UPSERTED,
+    jobassets="""
+  select coalesce(s.id, (select max(id) from stored) + row_number() over (partition by u.action order by u.address)) as id, u.*
+  from ups u left join stored s on s.address = u.address""",
+    accepted="select j.k, a.id as asset_id, a.collection_id from jobassets a join jobmerged j on j.address = a.address where a.action in ('inserted', 'updated', 'unchanged')",
+    jobattributes="""
+  select coalesce(o.asset_id, n.asset_id) as asset_id, coalesce(o.collection_id, n.collection_id) as collection_id,
+    coalesce(o.trait_type, n.trait_type) as trait_type, coalesce(o.value, n.value) as value, coalesce(n.position, o.position) as position,
+    case when o.asset_id is null then 'inserted' when n.asset_id is not null then case o.position when n.position then 'unchanged' else 'updated' end
+      when coalesce(o.asset_id, n.asset_id) in (select a.asset_id from accepted a join jobmerged m on m.k = a.k and m.observed) then 'removed' else 'kept' end as action
+  from (select * from asset_attributes where (asset_id - 1) % 19 <> 0) o
+  full join (select a.asset_id, a.collection_id, t.trait_type, t.value, t.position from jobtraits t join accepted a on a.k = t.k) n
+    on n.asset_id = o.asset_id and n.collection_id = o.collection_id and n.trait_type = o.trait_type and n.value = o.value""",
+    jobstored="""
+  select coalesce(o.asset_id, n.asset_id) as asset_id, case when n.asset_id is null then o.source_uri else n.source_uri end as source_uri,
+    case when o.asset_id is null then 'inserted' when n.asset_id is null then 'kept' when o.k % 16 = 2 then 'unchanged' else 'updated' end as action
+  from storeddocs o full join (select a.asset_id, d.source_uri from docs d join accepted a on a.k = d.k) n on n.asset_id = o.asset_id""")
+JOB_NAMES = "snap snaptraits docs doctraits stored asset_attributes"
+
+
+def job(d, stored=None, limited=False):
+    k, a, i = F.col("id") - 1, F.col("asset_id"), F.col("p_partkey")
+    homes = d.asset_base().select("address", F.when(k % 37 == 0, F.col("collection_id") + 1).otherwise(F.col("collection_id")).alias("collection_id"))
+    old = feeds.glue('{"name":"Old ', i.cast("string"), '","attributes":[{"trait_type":"Doc","value":"old"}]}')
+    address = spark_key(text("asset", i))
+    documents = d.raw("part").where((i % 19 != 0) & (i % 8 == 3)).select(
+        (i + 1).alias("asset_id"), old.alias("body"), feeds.glue("https://old.example.com/", i.cast("string"), ".json").alias("source_uri"))
+    fetched = feeds.documents(d)
+    documents = documents.unionByName(fetched.where((F.col("k") % 19 != 0) & (F.col("k") % 8 == 2)).select(
+        (F.col("k") + 1).alias("asset_id"), F.when(F.col("k") % 16 == 2, F.col("body")).otherwise('{"name":"older"}').alias("body"), "source_uri"))
+    tables = {
+        "assets": d.stored_assets(), "attributes": d.asset_attributes().where((a - 1) % 19 != 0),
+        "documents": documents.withColumn("fetched_at", F.lit("2024-01-01 00:00:00").cast("timestamp")),
+        "runs": d.spark.createDataFrame([(1, "assets", "running", 1), (2, "other", "done", 1)], "collection_id INT, kind STRING, status STRING, slot BIGINT"),
+    } if stored is None else stored
+    tables = {t: rows.select(*[F.col(c).cast(kind) if c in rows.columns else F.lit(None).cast(kind).alias(c)
+                               for c, kind in (f.split() for f in snapshots.STORE[t].split(", "))]) for t, rows in tables.items()}
+    return snapshots.snapshot_job(tables, snapshots.land_snapshots(feeds.snapshots(d)), fetched.select("address", "source_uri", "body"), homes, 4300, AS_OF, limited)
+
+
+@query("snapshot_job", with_(JOB_NAMES, "select * from jobattributes", **JOB))
 def _(d):
-    return job(d)["attributes"].drop("collection_id")
+    return job(d)["attributes"]
 
 
-def job(d):
-    k = F.col("id") - 1
-    homes = d.asset_base().select("address", F.when(k % 37 == 0, F.col("collection_id") + 1).otherwise(
-        F.col("collection_id")).alias("collection_id"))
-    return snapshots.snapshot_job(
-        d.assets(), d.asset_attributes(), snapshots.land_snapshots(feeds.snapshots(d)),
-        snapshots.land_documents_json(feeds.documents(d)), homes, 4300)
-
-
-@query("deep_reconcile", with_("merged assets", """
-  select collection_id, cast(sum(case when action in ('updated') then 1 else 0 end) as bigint) as corrections from (
-    select a.collection_id, case when m.address is null then 'kept' when m.k % 37 = 0 then 'skipped_foreign'
-      when (a.name, a.symbol, a.metadata_uri, a.metadata_source_uri, a.image_uri) is distinct from
-           (m.name, m.symbol, m.metadata_uri, coalesce(m.metadata_source_uri, a.metadata_source_uri), coalesce(m.image_uri, a.image_uri))
-        or (m.burned and not a.burned) or (not (m.burned or a.burned) and (a.owner_slot is null or (m.owner is not null and 4300 > a.owner_slot))
-        and a.owner is distinct from m.owner) then 'updated' else 'unchanged' end as action
-    from assets a left join merged m on m.address = a.address) group by 1"""))
+@query("snapshot_job_assets", with_(JOB_NAMES, "select * from jobassets", **JOB))
+def _(d):
+    return job(d)["assets"]
+
+
+@query("snapshot_job_documents", with_(JOB_NAMES, """
+  select *, case when action in ('inserted', 'updated') then timestamp '2024-03-03' else timestamp '2024-01-01' end as fetched_at from jobstored""", **JOB))
+def _(d):
+    return job(d)["documents"].drop("body")
+
+
+def counted(table, **columns):
+    cells = ", ".join(f"count(*) filter (action in ({', '.join(repr(a) for a in actions)})) as {c}" for c, actions in columns.items())
+    return f"(select collection_id, {cells} from {table} group by 1)"
+
+
+RUNS = f"""
+  select h.collection_id, 'assets' as kind, 'done' as status, cast(4300 as bigint) as slot, members, missing,
+    {", ".join(f"coalesce({c}, 0) as {c}" for c in ("inserted", "updated", "unchanged", "skipped", "attributes_written", "attributes_removed", "documents"))}
+  from (select n + case when k % 37 = 0 then 1 else 0 end as collection_id, count(*) as members, count(*) filter (k % 29 = 0) as missing
+    from (select p_partkey as k, {COLL} as n from part) group by 1) h
+  left join {counted("jobassets", inserted=["inserted"], updated=["updated"], unchanged=["unchanged"], skipped=["skipped_foreign"])} using (collection_id)
+  left join {counted("jobattributes", attributes_written=["inserted", "updated"], attributes_removed=["removed"])} using (collection_id)
+  left join {counted("(select a.collection_id, s.action from jobstored s join jobassets a on a.id = s.asset_id)", documents=["inserted", "updated"])} using (collection_id)"""
+
+
+@query("snapshot_job_runs", with_(JOB_NAMES, f"""
+  select * from runs union all select 2, 'other', 'done', 1, {", ".join(["null"] * 9)}""", **JOB, runs=RUNS))
+def _(d):
+    return job(d)["runs"].drop("started_at", "finished_at")
+
+
+@query("snapshot_job_empty", with_("snap docs", """
+  select row_number() over (order by address) as id, address, n + case when k % 37 = 0 then 1 else 0 end as collection_id, name, burned, owner,
+    case when owner is not null then 4300 end as owner_slot, 'inserted' as action from merged""", merged=CTES["merged"][1]))
+def _(d):
+    nothing = {t: d.spark.createDataFrame([], schema) for t, schema in snapshots.STORE.items()}
+    return job(d, nothing)["assets"].drop("symbol", "metadata_uri", "metadata_source_uri", "image_uri")
+
+
+@query("deep_reconcile", with_(JOB_NAMES, """
+  select collection_id, cast(sum(n) as bigint) as corrections from (
+    select collection_id, count(*) filter (action in ('inserted', 'updated')) as n from jobassets group by 1
+    union all select collection_id, count(*) filter (action in ('inserted', 'updated', 'removed')) from jobattributes group by 1
+    union all select a.collection_id, count(*) filter (s.action in ('inserted', 'updated')) from jobstored s join jobassets a on a.id = s.asset_id group by 1)
+  group by 1""", **JOB))
 def _(d):
-    return snapshots.deep_reconcile(job(d)["asset_counts"])
+    return snapshots.deep_reconcile(job(d))
 
 
 @query("land_documents", f"""

@@ -57,3 +57,28 @@ def write_once(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
     """Write unless it was: readers may know the files of a finished table."""
     if not is_done(df.sparkSession, path):
         df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+
+
+def latest_done(spark: SparkSession, folder: str) -> int:
+    """Highest n of the finished tables ``folder/n=...``; 0 if there is none."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    numbers = [int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(root)] if fs.exists(root) else []
+    return max((n for n in numbers if is_done(spark, f"{folder}/n={n}")), default=0)
+
+
+def commit_tables(spark: SparkSession, store: str, tables: dict[str, DataFrame]) -> int:
+    """Write ``tables`` as the next version of ``store``. Its commit record comes last: a version without one doesn't count, and
+    the next try takes its place."""
+    version = latest_done(spark, f"{store}/commits") + 1
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{store}/{name}/n={version}")
+    spark.createDataFrame([(version, sorted(tables))], "version INT, tables ARRAY<STRING>").coalesce(1).write.mode("overwrite").parquet(f"{store}/commits/n={version}")
+    return version
+
+
+def committed_tables(spark: SparkSession, store: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """The tables of the latest version of ``store``; empty ones before the first."""
+    version = latest_done(spark, f"{store}/commits")
+    return {name: spark.read.schema(schema).parquet(f"{store}/{name}/n={version}") if version else spark.createDataFrame([], schema)
+            for name, schema in schemas.items()}

@@ -22,7 +22,7 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from vitrine.functions.scalar import PUBLIC_KINDS
 from vitrine.operators.intervals import interval_rebuild
-from vitrine.session import STATE_STORE, is_done, write_once
+from vitrine.session import STATE_STORE, is_done, latest_done, write_once
 from vitrine.streaming.ownership import FRONTIER
 
 EVENTS = ("id BIGINT, asset_id BIGINT, collection_id INT, signature STRING, seq INT, slot BIGINT, block_time TIMESTAMP, kind STRING, "
@@ -152,10 +152,7 @@ def read_applied(spark: SparkSession, out: str) -> DataFrame:
 
 def manifest(spark: SparkSession, out: str) -> tuple[int, int, dict[int, int]]:
     """Latest committed version (0: none), the last batch it covers (-1: none), and the version that each bucket is stored in."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/versions")
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    numbers = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(root)] if fs.exists(root) else []
-    version = max((n for n in numbers if is_done(spark, f"{out}/versions/n={n}")), default=0)
+    version = latest_done(spark, f"{out}/versions")
     rows = spark.read.schema(MANIFEST).parquet(f"{out}/versions/n={version}").collect() if version else []  # a row a bucket
     return version, max((r["covers"] for r in rows), default=-1), {r["bucket"]: r["at"] for r in rows if r["bucket"] is not None}
 
