@@ -5,6 +5,7 @@ import json
 import pytest
 
 from vitrine.operators import decode, jobs
+from vitrine.session import write_table
 
 TOKEN, MARKET, CORE = "tokenProgram", "marketProgram", "coreProgram"
 
@@ -103,3 +104,51 @@ def test_whole_job_and_again(spark):
     assert [p.signature for p in out["parked"].collect()] == ["s2"]
     again = jobs.timeline_job(r, assets, collections, venues, times, out["activity"])
     assert again["new_activity"].count() == 0
+
+
+def chain_of_accounts(n):
+    """Transactions that hand one token on: only the first names its mint, each other shares an account with the one before."""
+    first = tx(["p", "nft", "A0"], [call("mintTo", account="A0")], [], [balance(2, "nft", "o0")], time=1_600_000_000)
+    return [first] + [tx(["p", f"A{i}", f"A{i + 1}"], [call("transfer", source=f"A{i}", destination=f"A{i + 1}")], [balance(1, "nft", f"o{i}")],
+                         [balance(2, "nft", f"o{i + 1}")], time=1_600_000_000 + i) for i in range(n)]
+
+
+def test_crawl_goes_on_until_nothing_is_new(spark):
+    facts = write_table(decode.facts(raw(spark, *chain_of_accounts(4), tx(["p", "Z", "other"], []))), "facts")
+    assets = spark.createDataFrame([("nft",), ("unknown",)], "address STRING")
+    found = sorted((r.address, r.signature, r.round) for r in decode.crawl_frontier(facts, assets).collect())
+    assert found == [("nft", f"s{i}", i + 1) for i in range(5)]
+    assert decode.crawl_frontier(facts, assets.limit(0)).count() == 0
+    stop = decode.crawl_frontier(facts, assets, lambda found: found.groupBy("address").count().where("count >= 3").select("address"))
+    assert stop.count() == 3
+
+
+def test_crawl_stops_where_the_chain_is_whole(spark):
+    facts = write_table(decode.facts(raw(spark, *chain_of_accounts(3))), "facts")
+    columns = "id BIGINT, address STRING, collection_id INT, owner STRING, burned BOOLEAN"
+    collections = spark.createDataFrame([], "id INT, address STRING, standard STRING, program STRING")
+    for owner, want in (("o1", 2), ("stranger", 4)):
+        assets = spark.createDataFrame([(1, "nft", 7, owner, False)], columns)
+        settled = jobs.settled_by_verdict(facts, assets, collections, decode.harvest_owner_map(facts))
+        assert decode.crawl_frontier(facts, assets, settled).count() == want
+
+
+def test_repair_of_drifted_assets(spark):
+    bodies = chain_of_accounts(3)
+    facts = write_table(decode.facts(raw(spark, *bodies)), "facts")
+    asset = "id BIGINT, address STRING, collection_id INT, owner STRING, burned BOOLEAN, membership_status STRING, owner_slot BIGINT, last_activity_slot BIGINT"
+    collections = spark.createDataFrame([(7, None, "token_metadata", None, True)], "id INT, address STRING, standard STRING, program STRING, enabled BOOLEAN")
+    venues = spark.createDataFrame([], "program_id STRING, label STRING")
+    times = spark.createDataFrame([], "slot BIGINT, block_time TIMESTAMP")
+    known = spark.createDataFrame([(1, "nft", 7, "o3", False)], "id BIGINT, address STRING, collection_id INT, owner STRING, burned BOOLEAN")
+    stored = jobs.timeline_job(raw(spark, *bodies[:2]), known, collections, venues, times, spark.createDataFrame([], jobs.ACTIVITY))["activity"]
+    stored = write_table(stored, "stored")
+    for owner, residual in (("stranger", 1),):
+        assets = spark.createDataFrame([(1, "nft", 7, owner, False, "member", None, None)], asset)
+        out = jobs.repair_drifted(facts, decode.account_index(facts), assets, collections, venues, times, stored, decode.harvest_owner_map(facts))
+        assert out["found"].count() == 4 and out["new_activity"].count() == 2
+        assert sorted((r.from_slot, r.owner, r.to_slot) for r in out["history"].collect()) == [(100 * (i + 1), f"o{i}", 100 * (i + 2) if i < 3 else None) for i in range(4)]
+        assert out["residual"].count() == residual
+    agrees = spark.createDataFrame([(1, "nft", 7, "o1", False, "member", None, None)], asset)
+    out = jobs.repair_drifted(facts, decode.account_index(facts), agrees, collections, venues, times, stored, decode.harvest_owner_map(facts))
+    assert out["found"].count() == out["history"].count() == out["residual"].count() == 0

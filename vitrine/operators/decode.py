@@ -6,13 +6,15 @@ balances omit need other rows, and those come by one join on the token account."
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.base58 import is_create_data
 from vitrine.operators.skew import HEAVY_ROWS, lookup_join, registry_join
 from vitrine.schemas import TRANSACTION
-from vitrine.session import durable
+from vitrine.session import durable, write_table
 
 # Parsed instruction names.
 TRANSFERS = ("transfer", "transferChecked")
@@ -278,23 +280,34 @@ def infer_core_event(touches: DataFrame, stored: DataFrame, snapshots: DataFrame
         F.when(F.col("kind") != "burn", F.col("_new_owner")).alias("to_owner"))
 
 
-def crawl_frontier(tx: DataFrame, assets: DataFrame, settled, rounds: int = 3) -> DataFrame:
-    """Transactions that concern each asset, found in rounds over the landed transactions:
-    first those that name the asset, then those that name a token account of it, for assets
-    that ``settled(signatures)`` does not return. ``assets``: (address)."""
-    names = tx.select("signature", F.explode("keys").alias("account")).distinct()
+def account_index(tx: DataFrame) -> DataFrame:
+    """(account, signature) of every account that a transaction names, stored by account: reads of few accounts skip the rest."""
+    return write_table(tx.select("signature", F.explode("keys").alias("account")).distinct(), "account_index", ["account"])
+
+
+def crawl_frontier(tx: DataFrame, assets: DataFrame, settled: Callable[[DataFrame], DataFrame] | None = None, index: DataFrame | None = None) -> DataFrame:
+    """(address, signature, round): transactions that concern each of ``assets`` (address), found in rounds until none is new: first those that
+    name the asset, then those that name a token account that it was seen in. An asset that ``settled(found)`` (address) returns is
+    not followed further.
+
+    Only accounts that are new in a round are looked up in it. Accounts with very many transactions are matched by broadcast."""
+    names = account_index(tx) if index is None else index
     holders = tx.select("signature", F.inline(F.concat("pre", "post"))).select(
         "signature", F.col("mint").alias("address"), "account").distinct()
-    asked = assets.select("address", F.col("address").alias("account"))
-    found = durable(asked.join(names, "account").select("address", "signature", F.lit(1).alias("round")).distinct())
-    for number in range(2, rounds + 1):
-        open_assets = assets.select("address").join(settled(found).select("address"), "address", "left_anti")
-        known = found.join(open_assets, "address", "left_semi")
-        wider = known.join(holders, ["address", "signature"]).select("address", "account").distinct()
-        new = wider.join(names, "account").select("address", "signature").distinct().join(
-            found.select("address", "signature"), ["address", "signature"], "left_anti")
-        new = durable(new.withColumn("round", F.lit(number)))
+    met = durable(assets.select("address", F.col("address").alias("account")).distinct())
+    new, found, number = met, None, 0
+    while True:
+        number += 1
+        of_account = new.groupBy("account").agg(F.collect_set("address").alias("_of"))  # a token account has one asset
+        hits = registry_join(names, of_account, ["account"], spread="signature", how="inner")
+        hits = hits.select(F.explode("_of").alias("address"), "signature").distinct()
+        if found is not None:
+            hits = hits.join(found, ["address", "signature"], "left_anti")
+        hits = durable(hits.withColumn("round", F.lit(number)))
+        found = hits if found is None else found.unionByName(hits)
+        open_hits = hits if settled is None else hits.join(settled(found).select("address"), "address", "left_anti")
+        seen = open_hits.join(holders, ["address", "signature"]).select("address", "account").distinct()
+        new = durable(seen.join(met, ["address", "account"], "left_anti"))
         if new.isEmpty():
-            break
-        found = found.unionByName(new)
-    return found
+            return found
+        met = met.unionByName(new)

@@ -103,13 +103,11 @@ def _(d):
     return timeline.collection_feed(d.activity(), d.assets(), 13)
 
 
-OWNERS = """
-  select h.asset_id, h.owner, h.from_slot, h.to_slot, o.signature as opened_by_signature,
-    c.signature as closed_by_signature from history h left join activity o on o.id = h.opened_by
-  left join activity c on c.id = h.closed_by"""
-
-
-@query("owners_signatures_join", with_("history", OWNERS))
+@query("owners_signatures_join", with_("activity", """
+  select asset_id, owner, from_slot, to_slot, opened_by_signature, closed_by_signature from (
+    select asset_id, to_owner as owner, slot as from_slot, signature as opened_by_signature,
+      lead(slot) over w as to_slot, lead(signature) over w as closed_by_signature
+    from activity window w as (partition by asset_id order by slot, seq, id)) where owner is not null"""))
 def _(d):
     return timeline.owners_signatures_join(d.ownership_history(), d.activity()).select(
         "asset_id", "owner", "from_slot", "to_slot", "opened_by_signature", "closed_by_signature")
@@ -322,11 +320,9 @@ def _(d):
     return integrity.latest_state_left_join(d.assets(), d.ownership_history()).select("id", "owner", "derived_owner")
 
 
-@query("has_history_semi", with_(I, """
-  select id, address from asset_base where id in (select asset_id from history where to_slot is not null)"""))
+@query("has_history_semi", with_(I, "select id, address from assets where id in (select asset_id from history)"))
 def _(d):
-    closed = d.ownership_history().where(F.col("to_slot").isNotNull())
-    return integrity.has_history_semi(d.asset_base(), closed).select("id", "address")
+    return integrity.has_history_semi(d.assets(), d.ownership_history()).select("id", "address")
 
 
 @query("integrity_symbol_mismatch", with_(I, SYMBOL))

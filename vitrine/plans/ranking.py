@@ -96,11 +96,9 @@ def _(d):
 
 
 @query("rarity_rankable", with_(R, """
-  select id, slug from collections where id in (select collection_id from asset_attributes
-    where is_facet and trait_type = 'Shape')"""))
+  select id, slug from collections where id in (select collection_id from asset_attributes where is_facet)"""))
 def _(d):
-    shapes = d.asset_attributes().where(F.col("trait_type") == "Shape")
-    return rarity.rarity_rankable(d.collections(), shapes).select("id", "slug")
+    return rarity.rarity_rankable(d.collections(), d.asset_attributes()).select("id", "slug")
 
 
 @query("rarity_cells", with_(R, """

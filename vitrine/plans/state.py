@@ -226,13 +226,14 @@ def _(d):
 
 # -- signatures -----------------------------------------------------------------------------
 @query("signature_fill", with_("signatures", """
-  select coalesce(o.asset_id, n.asset_id) as asset_id, coalesce(o.signature, n.signature) as signature,
-    coalesce(o.slot, n.slot) as slot, coalesce(o.block_time, n.block_time) as block_time, coalesce(o.failed, n.failed) as failed,
-    case when o.asset_id is null then 'inserted' when n.asset_id is null then 'kept'
-      when o.block_time is null and n.block_time is not null then 'updated' else 'unchanged' end as action
-  from (select * replace (case when slot % 4 <> 0 then block_time end as block_time) from signatures where asset_id % 5 <> 0) o
-  full join (select * replace (case when slot % 8 <> 4 then block_time end as block_time) from signatures where asset_id % 7 <> 0) n
-  on n.asset_id = o.asset_id and n.signature = o.signature"""))
+  select asset_id, signature, coalesce(any_value(slot) filter (old), any_value(slot)) as slot,
+    coalesce(any_value(told) filter (old), any_value(told)) as block_time, coalesce(any_value(failed) filter (old), any_value(failed)) as failed,
+    case when not bool_or(old) then 'inserted' when bool_and(old) then 'kept'
+      when count(told) filter (old) = 0 and count(told) > 0 then 'updated' else 'unchanged' end as action
+  from (
+    select asset_id, signature, slot, failed, true as old, case when slot % 4 <> 0 then block_time end as told from signatures where asset_id % 5 <> 0
+    union all select asset_id, signature, slot, failed, false, case when slot % 8 <> 4 then block_time end from signatures where asset_id % 7 <> 0)
+  group by 1, 2"""))
 def _(d):
     s, slot, a = d.signatures(), F.col("slot"), F.col("asset_id")
     stored = s.where(a % 5 != 0).withColumn("block_time", F.when(slot % 4 != 0, F.col("block_time")))
