@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from vitrine.llm import topk, vectors
@@ -115,6 +116,18 @@ def test_group_larger_than_a_shard(spark):
     assert [g[2] for g in got] == [w[2] for w in want]
 
 
+def test_vectors_of_one_direction(spark):
+    """They can't be told apart by clusters: dealt by id instead, each node still in few shards, and no link is lost."""
+    rnd = np.random.default_rng(2)
+    base = rnd.normal(0, 1, 6)
+    data = [(i, (base * (1 + i / 64)).astype("f4").tolist(), 1) for i in range(130)] + [(200 + i, rnd.normal(0, 1, 6).astype("f4").tolist(), 1) for i in range(20)]
+    df = frame(spark, data)
+    nodes = vectors.nodes_of(df, "vec_id", "label", "embedding")
+    sizes = [r["n"] for r in vectors.overlapping_shards(nodes, 60).groupBy("shard").agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) <= 60 and sum(sizes) <= 4 * len(data)
+    assert sorted(map(tuple, vectors.near_duplicates(df, shard_nodes=60).collect()), key=str) == near_want(data)
+
+
 def test_graph_reaches_dense_groups():
     """Hundreds of copies around one centre, which has not room for links to them all."""
     rnd = np.random.default_rng(3)

@@ -49,6 +49,9 @@ def unit(column: pd.Series) -> np.ndarray:
     return x / np.sqrt((x ** 2).sum(1, keepdims=True))
 
 
+APART = 0.75  # of a shard: the largest part that clusters may have, or else they don't divide it
+
+
 def _centres(clusters_for: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x = unit(rows.sort_values("node")["vector"])
@@ -60,6 +63,9 @@ def _centres(clusters_for: int):
             np.add.at(sums, near, x)
             length = np.sqrt((sums ** 2).sum(1, keepdims=True))
             centres = np.where(length > 0, sums / np.maximum(length, 1e-300), centres)
+        near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :OVERLAP]
+        if np.bincount(near.ravel()).max() > APART * len(x):  # vectors that can't be told apart are dealt by their ids
+            k = -int(-(-rows["size"].iloc[0] * 2 // clusters_for))
         return pd.DataFrame({"of": [key[0]], "centres": [centres.astype("<f8").tobytes()], "k": [k]})
     return run
 
@@ -72,6 +78,10 @@ def _deal(batches):
         for _, part in rows.groupby("shard"):
             x = unit(part["vector"])
             k = int(part["k"].iloc[0])
+            if k < 0:
+                at = (part["node"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(-k)
+                out.append(part.assign(shard=part["shard"] + "/" + pd.Series(at, part.index).astype(str)))
+                continue
             centres = np.frombuffer(part["centres"].iloc[0], "<f8").reshape(k, -1)
             near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :OVERLAP]
             for nth in range(near.shape[1]):
@@ -86,7 +96,7 @@ def overlapping_shards(nodes: DataFrame, shard_nodes: int = SHARD_NODES) -> Data
     """``nodes`` with ``shard`` and ``home``: each node in one or more shards, at home in one of them."""
     shards = write_table(nodes.withColumn("shard", F.concat_ws(":", F.col("label").cast("string"), F.size("vector").cast("string")))
                          .withColumn("home", F.lit(True)), "shards")
-    for _ in range(12):  # each round divides a large shard by 4 at least, unless its vectors can't be told apart
+    for _ in range(12):  # each round leaves no part of a large shard over APART of it
         sizes = shards.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > shard_nodes)
         sizes = sizes.select(F.col("shard").alias("of"), "size")
         if sizes.isEmpty():
