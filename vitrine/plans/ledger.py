@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vitrine.operators import classify, decode, jobs
+from vitrine.operators import classify, decode, integrity, jobs
 from vitrine.plans import sqlbase
 from vitrine.plans.common import Plans
 from vitrine.plans.sqlbase import COLL, hash_id, key, sig, with_
@@ -370,17 +370,20 @@ REPAIR = dict(
 
 
 def repaired(d):
-    stored = timeline_activity(d).where(F.col("id") % 3 != 1)
-    return jobs.repair_drifted(facts(d), accounts(d), d.assets(), d.collections(), d.venues(), slot_times(d), stored, owner_map(d))
+    """The history that the repair leaves its assets, landed once for both queries."""
+    def build():
+        stored = timeline_activity(d).where(F.col("id") % 3 != 1)
+        return jobs.repair_drifted(facts(d), accounts(d), d.assets(), d.collections(), d.venues(), slot_times(d), stored, owner_map(d))["history"]
+    return d._landed("repaired_history", build)
 
 
 @query("repair_drifted", with_("ledger_activity members collections tx", spans("mended"), **REPAIR))
 def _(d):
-    return repaired(d)["history"].drop("from_ts", "to_ts")
+    return repaired(d).drop("from_ts", "to_ts")
 
 
 @query("repair_drifted_residual", with_("ledger_activity members collections tx", """
   select a.id as asset_id from drifted a left join after_all b on b.asset_id = a.id and b.to_slot is null
   where a.id in (select asset_id from after_all) and a.owner is distinct from b.owner""", **REPAIR, after_all=spans("mended")))
 def _(d):
-    return repaired(d)["residual"]
+    return integrity.owner_mismatch(d.assets(), repaired(d)).select("asset_id")
