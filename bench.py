@@ -42,7 +42,7 @@ def main() -> None:
 
     start = time.perf_counter()
     d = Domain(spark, sf_dir)
-    for table in (d.collections, d.asset_attributes, d.activity, d.assets, d.ownership_history):
+    for table in (d.collections, d.asset_attributes, d.activity, d.assets, d.ownership_history, d.assets_by_id, d.attributes_by_asset):
         table()
     landing = time.perf_counter() - start
     times = {}

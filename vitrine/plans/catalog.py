@@ -133,7 +133,7 @@ def _(d):
                              f"select id, collection_id from members m where {sql_match('m.id', SELECTIONS)}"))
 def _(d):
     return predicates.trait_filter(
-        predicates.population(d.assets()), d.asset_attributes(), SELECTIONS).select("id", "collection_id")
+        predicates.population(d.assets_by_id()), d.attributes_by_asset(), SELECTIONS).select("id", "collection_id")
 
 
 # The per-asset names are no facet, but may be chosen.
@@ -143,7 +143,7 @@ NAMED = {"Name": ["old anvil #14", "old plate #14", "cold gizmo #10", "large anv
 
 @query("trait_filter_named", with_("asset_attributes members", f"select id, collection_id from members m where {sql_match('m.id', NAMED)}"))
 def _(d):
-    return predicates.trait_filter(predicates.population(d.assets()), d.asset_attributes(), NAMED).select("id", "collection_id")
+    return predicates.trait_filter(predicates.population(d.assets_by_id()), d.attributes_by_asset(), NAMED).select("id", "collection_id")
 
 
 @query("kind_filter", with_("activity", "select id, kind from activity where kind in ('sale', 'burn')"))
@@ -182,8 +182,8 @@ def _(d):
   select m.id, m.collection_id, a.trait_type, a.value, a.position, a.is_facet
   from members m join asset_attributes a on a.asset_id = m.id"""))
 def _(d):
-    members = predicates.population(d.assets()).select("id")
-    a = d.asset_attributes()
+    members = predicates.population(d.assets_by_id()).select("id")
+    a = d.attributes_by_asset()
     return members.join(a, F.col("id") == F.col("asset_id")).select(
         "id", "collection_id", "trait_type", "value", "position", "is_facet")
 
@@ -201,7 +201,7 @@ def _(d):
 @query("facet_counts", with_("facets", """
   select collection_id, trait_type, value, count(*) as n from facets group by all"""))
 def _(d):
-    return facets.facet_counts(d.assets(), d.asset_attributes())
+    return facets.facet_counts(d.assets_by_id(), d.attributes_by_asset())
 
 
 def disjunctive_sql(selections, extra="true"):
@@ -212,29 +212,29 @@ def disjunctive_sql(selections, extra="true"):
 
 @query("facet_disjunctive", with_("facets", disjunctive_sql(SELECTIONS)))
 def _(d):
-    return facets.facet_disjunctive(d.assets(), d.asset_attributes(), SELECTIONS)
+    return facets.facet_disjunctive(d.assets_by_id(), d.attributes_by_asset(), SELECTIONS)
 
 
 @query("facet_disjunctive_rare", with_("facets", disjunctive_sql(ONE_RARE)))
 def _(d):
-    return facets.facet_disjunctive(d.assets(), d.asset_attributes(), ONE_RARE)
+    return facets.facet_disjunctive(d.assets_by_id(), d.attributes_by_asset(), ONE_RARE)
 
 
 @query("facet_disjunctive_named", with_("facets", disjunctive_sql(NAMED)))
 def _(d):
-    return facets.facet_disjunctive(d.assets(), d.asset_attributes(), NAMED)
+    return facets.facet_disjunctive(d.assets_by_id(), d.attributes_by_asset(), NAMED)
 
 
 @query("facet_disjunctive_text", with_("facets", disjunctive_sql(
     {"Size": ["1", "2", "3"]}, "(contains(lower(m.name), 'ring') or starts_with(m.address, 'ring'))")))
 def _(d):
-    return facets.facet_disjunctive(d.assets(), d.asset_attributes(), {"Size": ["1", "2", "3"]}, q="ring")
+    return facets.facet_disjunctive(d.assets_by_id(), d.attributes_by_asset(), {"Size": ["1", "2", "3"]}, q="ring")
 
 
 @query("filtered_total", with_("members asset_attributes", f"""
   select collection_id, count(*) as total from members m where {sql_match('m.id', SELECTIONS)} group by 1"""))
 def _(d):
-    return facets.filtered_total(d.assets(), d.asset_attributes(), SELECTIONS)
+    return facets.filtered_total(d.assets_by_id(), d.attributes_by_asset(), SELECTIONS)
 
 
 @query("facets_response", with_("facets", f"""
@@ -247,14 +247,14 @@ def _(d):
      from ({disjunctive_sql(SELECTIONS)}) group by 1, 2) g on g.collection_id = c.id
   where c.enabled"""))
 def _(d):
-    return facets.facets_response(d.collections(), d.assets(), d.asset_attributes(), SELECTIONS)
+    return facets.facets_response(d.collections(), d.assets_by_id(), d.attributes_by_asset(), SELECTIONS)
 
 
 @query("trait_cardinality", with_("asset_attributes", """
   select collection_id, trait_type, is_facet, count(distinct value) as "values", count(distinct asset_id) as assets
   from asset_attributes group by all"""))
 def _(d):
-    return facets.trait_cardinality(d.asset_attributes())
+    return facets.trait_cardinality(d.attributes_by_asset())
 
 
 def with_unexcluded_names(d):
@@ -279,7 +279,7 @@ def _(d):
         from (select collection_id, trait_type, value, count(*) as n from facets group by all))
   where place in (0, 1, k * 30 // 100, k - 1)"""))
 def _(d):
-    return facets.bench_scenarios(d.assets(), d.asset_attributes())
+    return facets.bench_scenarios(d.assets_by_id(), d.attributes_by_asset())
 
 
 # -- pages ------------------------------------------------------------------

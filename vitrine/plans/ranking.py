@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from vitrine.operators import rarity, stats
+from vitrine.operators import rankstore, rarity, stats
 from vitrine.plans.common import Plans
 from vitrine.plans.sqlbase import key, with_
+from vitrine.session import shared_dir
 from vitrine.sources.domain import key as spark_key
 from vitrine.sources.domain import text
 
@@ -147,6 +150,45 @@ def _(d):
     return rarity.rarity_verify(d.assets(), d.asset_attributes(), stored_ranks(d))
 
 
+def second_pass(d) -> str:
+    """A store that ranked everyone before the removals, then the collections that are flagged dirty."""
+    def build():
+        store = f"{shared_dir(d.spark)}/stores/{uuid.uuid4().hex}"
+        by = rankstore.BY
+        rankstore.write_by_collection(d.asset_base().withColumn("membership_status", F.lit("member")), f"{store}/before", "id")
+        rankstore.write_by_collection(d.assets(), f"{store}/assets", "id")
+        rankstore.write_by_collection(d.asset_attributes(), f"{store}/attributes", "asset_id")
+        before, assets, attributes = (d.spark.read.parquet(f"{store}/{t}") for t in ("before", "assets", "attributes"))
+        rankstore.mark_dirty(d.collections().select(F.col("id").alias(by)), store)
+        rankstore.recompute(d.spark, store, before, attributes)
+        rankstore.mark_dirty(d.collections().where("rarity_dirty").select(F.col("id").alias(by)), store)
+        rankstore.recompute(d.spark, store, assets, attributes)
+        return store
+    return d.once("rank_store", build)
+
+
+DIRTY = "in (select id from collections where rarity_dirty)"
+
+
+@query("rarity_recompute", with_(R, f"""
+  select asset_id, collection_id, rarity_score, rarity_rank from ranked where collection_id {DIRTY} union all
+  select asset_id, collection_id, rarity_score, rarity_rank from oldranked where collection_id not {DIRTY}""", **NOW, **BEFORE))
+def _(d):
+    return rankstore.stored_ranks(d.spark, second_pass(d)).select("asset_id", "collection_id", "rarity_score", "rarity_rank")
+
+
+@query("rarity_passes", with_(R, f"""
+  select c.id as collection_id, false as rarity_dirty,
+    cast(c.rarity_version + cast(count(o.asset_id) > 0 as int)
+      + cast(rarity_dirty and count(*) filter (where a.changed) > 0 as int) as int) as rarity_version,
+    case when rarity_dirty then count(*) filter (where a.ranked) else count(o.asset_id) end as ranked,
+    case when rarity_dirty then count(*) filter (where a.changed) else count(o.asset_id) end as changed
+  from collections c left join ({APPLIED}) a on a.collection_id = c.id left join oldranked o on o.asset_id = a.asset_id
+  group by c.id, c.rarity_version, c.rarity_dirty""", **NOW, **BEFORE))
+def _(d):
+    return rankstore.rank_state(d.collections(), second_pass(d))
+
+
 @query("not_ranked_anti", with_(R, """
   select * from oldranked where asset_id not in (select asset_id from ranked)""", **NOW, **BEFORE))
 def _(d):

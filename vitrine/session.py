@@ -47,6 +47,19 @@ def write_table(df: DataFrame, name: str, cluster_by: list[str] | None = None) -
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` as a table of ``buckets`` buckets of ``key``, each one file sorted by it, and read it back.
+
+    Tables with equally many buckets are joined and grouped by the key without an exchange. The key must be even: all its rows
+    lie in one bucket."""
+    spark = df.sparkSession
+    table, path = f"{name}_{uuid.uuid4().hex}", f"{shared_dir(spark)}/tables"
+    # the hash of this exchange is that of the buckets, so each task writes one file
+    rows = df.repartition(buckets, key).sortWithinPartitions(key)
+    rows.write.bucketBy(buckets, key).sortBy(key).option("path", f"{path}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def is_done(spark: SparkSession, path: str) -> bool:
     """Whether a table was written there to its end."""
     mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
