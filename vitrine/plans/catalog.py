@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vitrine.functions import scalar
 from vitrine.operators import browse, facets, predicates
 from vitrine.plans.common import Plans
+from vitrine.plans.ranking import NOW
 from vitrine.plans.sqlbase import COLL, key, with_
 from vitrine.sources.domain import key as spark_key
 from vitrine.sources.domain import text
@@ -287,13 +288,15 @@ PAGE_OF = 13
 
 
 def page(name, order, sort, where="true", **args):
-    sql = with_("members asset_attributes", f"""
-      select {CARD}, {order[0]} as sort_key from members m
-      where collection_id = {PAGE_OF} and {where} order by {order[0]} {order[1]}, id {order[1]} limit 24""")
+    ranked = sort.endswith("rarity")
+    rows = "(select members.*, rarity_score, rarity_rank from members left join ranked on asset_id = id)" if ranked else "members"
+    sql = with_("members asset_attributes" + " collections" * ranked, f"""
+      select {CARD}{", rarity_score, rarity_rank" if ranked else ""}, {order[0]} as sort_key from {rows} m
+      where collection_id = {PAGE_OF} and {where} order by {order[0]} {order[1]}, id {order[1]} limit 24""", **(NOW if ranked else {}))
 
     @query(name, sql)
     def _(d):
-        return browse.browse_page(d.assets(), d.asset_attributes(), PAGE_OF, sort, **args)
+        return browse.browse_page(d.ranked_assets() if ranked else d.assets(), d.asset_attributes(), PAGE_OF, sort, **args)
 
 
 TWO = {"Size": ["1", "2", "3"], "Type": ["ECONOMY", "STANDARD"]}
@@ -302,6 +305,12 @@ page("browse_page_name", ("name", "desc"), "-name")
 page("browse_page_activity", ("coalesce(last_activity_slot, -1)", "desc"), "-activity")
 page("keyset_after", ("coalesce(last_activity_slot, -1)", "desc"), "-activity",
      "(coalesce(last_activity_slot, -1), id) < (4000, 100)", after=(4000, 100))
+page("browse_page_rarity", ("coalesce(rarity_rank, 2147483647)", "asc"), "rarity", sql_match("m.id", {"Size": ["1", "2", "3"]}),
+     selections={"Size": ["1", "2", "3"]})
+page("browse_page_common", ("coalesce(rarity_rank, 2147483647)", "desc"), "-rarity",
+     "(coalesce(rarity_rank, 2147483647), id) < (60, 100000000)", after=(60, 100000000))
+page("browse_page_text", ("coalesce(number, 2147483647)", "asc"), "number",
+     "(contains(lower(m.name), 're') or starts_with(m.address, 're'))", q=" RE ")
 page("keyset_after_text", ("name", "asc"), "name", "(name, id) > ('red', 0)", after=("red", 0))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["base", "catalog", "ranking", "events", "state", "ledger", "landing"]
+MODULES = ["base", "catalog", "ranking", "events", "state", "ledger", "landing", "served"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

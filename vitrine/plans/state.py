@@ -338,6 +338,19 @@ def _(d):
     return enabled_in_order(d.collections()).select("place", "id", "slug", "membership_rule")
 
 
+@query("registry_by_slug", with_("collections", """
+  select id, slug, name, standard, enabled, membership_rule from collections where slug = 'brand-13'"""))
+def _(d):
+    from vitrine.operators.registry import by_slug
+    return by_slug(d.collections(), "brand-13").select("id", "slug", "name", "standard", "enabled", "membership_rule")
+
+
+@query("registry_allowlist", with_("collection_mints", "select mint from collection_mints where collection_id = 14 order by mint"))
+def _(d):
+    from vitrine.operators.registry import allowlist
+    return allowlist(d.collection_mints(), 14)
+
+
 @query("registry_tokens", with_("tokens", """
   select mint, symbol, name, decimals from tokens where enabled"""))
 def _(d):
