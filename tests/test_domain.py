@@ -37,3 +37,7 @@ def test_no_event_is_landed(spark):
 def test_exchanges_of_events_carry_keys_and_not_texts(spark):
     carried = exchanged(Domain(spark, SF).activity())
     assert carried and not any(c & {"signature", "receiver", "from_owner", "to_owner", "details"} for c in carried), carried
+
+
+def test_core_calls_land_no_transaction(spark):
+    assert not landed(spark, "core_touches") & {"transactions", "tx_facts"}
