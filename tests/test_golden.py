@@ -114,6 +114,16 @@ def test_two_values_of_a_type_are_two_terms(spark):
     assert got == {1: 3.0, 2: 1.0}
 
 
+def test_rarity_keeps_twelve_places(spark):
+    # asset 1's terms add up to ...4999995 to ...4999999 behind the sixth place: down, unless a place was rounded away before
+    n, carriers = 199, (23, 47, 53, 76)
+    members = spark.createDataFrame([(i, 1, "member") for i in range(1, n + 1)], "id BIGINT, collection_id INT, membership_status STRING")
+    t = traits(spark, [(i, f"T{c}", "x" if i <= c else "y") for c in carriers for i in range(1, n + 1)])
+    got = {r.asset_id: r.score for r in rarity.rarity_score(members, t).where("asset_id = 1").collect()}
+    twelfths = sum((2 * n * 10**12 + c) // (2 * c) for c in carriers)
+    assert int(got[1] * 10**6) == (2 * twelfths + 10**6) // (2 * 10**6)
+
+
 def test_unknown_type_and_value(spark):
     t = traits(spark, [(1, "Hat", "a"), (2, "Hat", "b"), (1, "Eye", "x"), (2, "Eye", "y")])
     a = assets(spark, 2)
