@@ -145,6 +145,19 @@ def test_near_copies_around_one_original(spark):
         assert {d for d in want if got[d] != want[d]} == set()
 
 
+def test_near_copies_by_linked_fingerprints(spark, monkeypatch):
+    """Without any band, texts whose fingerprints link are still compared, and only those alike are joined."""
+    monkeypatch.setattr(simhash, "BANDS", 0)
+    rnd = random.Random(13)
+    base = [rnd.choice([f"v{i}" for i in range(5000)]) for _ in range(4000)]
+    rows = [(i, " ".join(base + [f"new{i}"] * (i > 1))) for i in range(1, 6)]
+    rows += [(6, "x y z"), (7, "x y z x y z x y z x y z x y z x y z x y z"), (8, "x y z")]
+    prints = [simhash.fingerprint(t, 3) for _, t in rows]
+    assert all((prints[0] ^ p).bit_count() <= 3 for p in prints[:5])
+    got = {r.doc_id: r.head_id for r in simhash.near_copies(frame(spark, rows)).collect()}
+    assert got == {**{i: 1 for i in range(1, 6)}, 6: 6, 7: 7, 8: 6}
+
+
 def test_join_parts_compares_every_pair():
     import pyarrow as pa
 

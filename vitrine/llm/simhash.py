@@ -23,6 +23,7 @@ from vitrine.session import write_table
 
 RADIUS = 3
 SEED = 42
+FP_WIDTH = 3  # near_copies: words of a shingle of its fingerprints, as in near_duplicates
 # near_copies: MinHash bands of each text. Of pairs with Jaccard similarity j, (1 - j ** BAND_ROWS) ** BANDS meet in none:
 # 0.5 % at 0.8, whatever the kind of edit
 BANDS, BAND_ROWS = 10, 4
@@ -198,9 +199,10 @@ def _keys_of(width: int, bands: int):
             for s in slices(b.column(2)):
                 keys = _band_keys(s, width, bands).view(np.int64)
                 n = len(s.counts)
-                lists = pa.ListArray.from_arrays(np.arange(0, n * bands + 1, bands, dtype=np.int32), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, n), b.column(1).slice(s.first, n), lists, pa.array(s.counts)],
-                                                 ["doc_id", "version", "keys", "n_words"])
+                lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * np.int32(bands), pa.array(keys.ravel()))
+                fps = np.fromiter((fingerprint(t.as_py(), FP_WIDTH) for t in b.column(2).slice(s.first, n)), np.uint64, n)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, n), b.column(1).slice(s.first, n), lists, pa.array(s.counts),
+                                                  pa.array(fps.view(np.int64))], ["doc_id", "version", "keys", "n_words", "fp"])
     return run
 
 
@@ -313,17 +315,22 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, cell_b
     smallest id, and whether it is that one. ``version`` is the MD5 of the text.
 
     Texts are near copies if the sets of their ``width``-word shingles (a shorter text is one shingle), A to Z in lower case,
-    have a Jaccard similarity of at least ``similarity``; groups follow links over others. Candidates share a MinHash band of
-    their shingles, so that only the similarity counts, not the kind of edit. A candidate counts only after its shingles were
-    compared: first with the most central text of each band, then between all texts of a band that are in different parts yet.
+    have a Jaccard similarity of at least ``similarity``; groups follow links over others. Candidates are texts whose
+    SimHash fingerprints link within RADIUS bits, as in ``near_duplicates``, and those that share a MinHash band of their shingles,
+    where only the similarity counts, not the kind of edit. A candidate counts only after its shingles were compared: first with
+    the most central text of each group or band, then between all texts of one that are in different parts yet.
     Equal texts are one group; NULL and empty texts are equal. NULL ids come last. Rows that repeat a doc_id and text stay or go
     together. Extra columns are left out; an empty table gives an empty table."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("version", F.md5("text"))
     marked = write_table(rows.select("doc_id", "version", "text").mapInArrow(
-        _keys_of(width, BANDS), "doc_id long, version string, keys array<long>, n_words long"), "keys")
+        _keys_of(width, BANDS), "doc_id long, version string, keys array<long>, n_words long, fp long"), "keys")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")).alias("first")
-    texts = marked.groupBy("version").agg(first, F.first("keys").alias("keys"), F.max("n_words").alias("n_words"))
-    tables = write_table(texts.where("n_words > 0").select("version", F.explode("keys").alias("key")), "tables")
+    texts = marked.groupBy("version").agg(first, F.first("keys").alias("keys"), F.max("n_words").alias("n_words"), F.first("fp").alias("fp"))
+    worded = texts.where("n_words > 0")
+    # texts whose fingerprints link, directly or over others, share a bucket like those of one band
+    linked = components(fingerprint_links(worded.select("fp").distinct())).select(F.col("node").alias("fp"), "root")
+    grouped = worded.select("version", "fp").join(linked, "fp", "left").select("version", F.coalesce("root", "fp").alias("key"))
+    tables = write_table(worded.select("version", F.explode("keys").alias("key")).union(grouped), "tables")
     buckets = tables.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = write_table(tables.join(buckets, "key"), "shared")
     # all are compared with the one that meets most others: the original of its copies, if there is one
