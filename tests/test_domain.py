@@ -41,3 +41,7 @@ def test_exchanges_of_events_carry_keys_and_not_texts(spark):
 
 def test_core_calls_land_no_transaction(spark):
     assert not landed(spark, "core_touches") & {"transactions", "tx_facts"}
+
+
+def test_maps_of_the_ledger_land_no_transaction(spark):
+    assert not landed(spark, "harvest_owner_map", "mint_token_accounts") & {"transactions", "tx_facts"}
