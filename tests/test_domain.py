@@ -2,6 +2,7 @@
 
 import re
 
+from vitrine.operators.timeline import owners_signatures_join
 from vitrine.plans import registry
 from vitrine.sources import domain
 from vitrine.sources.domain import Domain
@@ -45,3 +46,15 @@ def test_core_calls_land_no_transaction(spark):
 
 def test_maps_of_the_ledger_land_no_transaction(spark):
     assert not landed(spark, "harvest_owner_map", "mint_token_accounts") & {"transactions", "tx_facts"}
+
+
+def test_signed_intervals_exchange_no_text(spark):
+    for name in ("owners_signatures_join",):
+        carried = exchanged(registry.QUERIES[name](spark, SF))
+        assert carried and not any(c & {"signature", "opened_by_signature", "closed_by_signature", "owner", "to_owner"} for c in carried), carried
+
+
+def test_signed_intervals_are_those_joined_to_their_events(spark):
+    d = Domain(spark, SF)
+    joined = owners_signatures_join(d.ownership_history(), d.activity())
+    assert sorted(map(str, d.signed_history().select(*joined.columns).collect())) == sorted(map(str, joined.collect()))
