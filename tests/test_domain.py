@@ -49,7 +49,7 @@ def test_maps_of_the_ledger_land_no_transaction(spark):
 
 
 def test_signed_intervals_exchange_no_text(spark):
-    for name in ("owners_signatures_join",):
+    for name in ("owners_signatures_join", "serve_intervals"):
         carried = exchanged(registry.QUERIES[name](spark, SF))
         assert carried and not any(c & {"signature", "opened_by_signature", "closed_by_signature", "owner", "to_owner"} for c in carried), carried
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from vitrine.operators.predicates import kind_filter
 from vitrine.operators.skew import lookup_join
 from vitrine.operators.stats import collections_overview, wallet_page
-from vitrine.operators.timeline import owners_signatures_join
 
 WITH_NULLS = {"ignoreNullFields": "false"}
 
@@ -66,11 +65,11 @@ def feed(activity: DataFrame, assets: DataFrame, collections: DataFrame) -> Data
     return happened.select("id", "collection_id", _json([*_event(), F.col("_nft").alias("nft")]).alias("json"))
 
 
-def intervals(history: DataFrame, activity: DataFrame) -> DataFrame:
-    """Ownership intervals with the signatures that opened and closed them."""
+def intervals(signed: DataFrame) -> DataFrame:
+    """Ownership intervals with the signatures that opened and closed them, as ``interval_rebuild`` or ``owners_signatures_join`` give them."""
     shape = _camel(owner="owner", fromSlot="from_slot", fromTs=_time("from_ts"), toSlot="to_slot", toTs=_time("to_ts"), isCurrent=F.col("to_slot").isNull(),
                    openedBySignature="opened_by_signature", closedBySignature="closed_by_signature")
-    return owners_signatures_join(history, activity).select("asset_id", "opened_by", _json(shape).alias("json"))
+    return signed.select("asset_id", "opened_by", _json(shape).alias("json"))
 
 
 def collection_shapes(collections: DataFrame, assets: DataFrame, activity: DataFrame, as_of: str) -> DataFrame:
