@@ -5,6 +5,8 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the las
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from vitrine.session import write_table
 
 #: Documents scored below are rejected.
 LEAST_QUALITY = 0.5
+#: Texts of one Arrow batch; Spark's default of 10 000 is a whole split of documents.
+BATCH_ROWS = 1000
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,7 +85,16 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(digests, packing.group_count(docs))
 
 
-STAGES = [("quality_filter", quality_filter), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("mix", mix), ("pack", pack)]
+def _small_batches(stage):
+    """``stage`` with whole texts handed to Python by BATCH_ROWS; a batch is held by the JVM and by the worker at once."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+    return run
+
+
+STAGES = [(stage.__name__, _small_batches(stage)) for stage in (quality_filter, near_dedup, passage_dedup, mix, pack)]
 
 #: A fitted classifier, fingerprints and a tokenizer: not for SQL. tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None

@@ -1,11 +1,14 @@
 """The pipeline's stages on the smallest tables, each against brute force on its own input."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import brute
-from vitrine.llm import mixing
+from vitrine.llm import mixing, packing
+from vitrine.llm.queries import tokenizer_path
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -88,3 +91,15 @@ def test_empty(spark):
 def test_run_is_the_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_filter", "near_dedup", "passage_dedup", "mix", "pack"]
     assert corpus_pipeline.run(spark, SF_DIR).agg(F.sum("length")).first()[0] > 0
+
+
+def test_an_idle_worker_gives_up_its_encoder(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_S", 0.2)
+    first = packing._encoder(tokenizer_path())
+    packing._rest()
+    assert packing._encoder(tokenizer_path()) is first  # the next task came in time
+    time.sleep(0.6)
+    assert packing._ENCODERS
+    packing._rest()
+    time.sleep(1)
+    assert not packing._ENCODERS

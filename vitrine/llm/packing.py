@@ -9,6 +9,7 @@ A group wastes at most a fraction of its last sequences, so padding does not dep
 from __future__ import annotations
 
 import os
+import threading
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.text import LOWER, Slice, slices
+from vitrine.llm.text import LOWER, Slice, release, slices
 
 LENGTH = 2048
 GROUP_DOCS = 20_000
@@ -131,7 +132,9 @@ class Encoder:
         return ids, np.diff(np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(number)])])
 
 
-_ENCODERS: dict[str, Encoder] = {}  # of this worker; kept from task to task
+_ENCODERS: dict[str, Encoder] = {}  # of this worker; kept from task to task, and for KEPT_S without one
+_FORGETS: list[threading.Timer] = []
+KEPT_S = 3.0
 # 1: a-z; 2: other ASCII signs that a cut next to a letter is certain at
 _KIND = np.zeros(256, np.uint8)
 _KIND[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'"]] = 2
@@ -140,6 +143,24 @@ _LATIN = np.zeros(256, bool)  # second bytes of the letters U+00C0 to U+00FF, wh
 _LATIN[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
 
 
+def _encoder(path: str) -> Encoder:
+    while _FORGETS:
+        _FORGETS.pop().cancel()
+    return _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
+
+
+def _rest() -> None:
+    """Unless another task comes, the worker gives up its encoder: idle workers stay with the executor."""
+    def forget() -> None:
+        _ENCODERS.clear()
+        release()
+
+    timer = threading.Timer(KEPT_S, forget)
+    timer.daemon = True
+    timer.start()
+    _FORGETS.append(timer)
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of a document: ``start``, the document's ids before it; ``length``; ``doc_tokens``, the
@@ -148,7 +169,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int =
     ``tokenizer`` is the path of a tokenizer file that every executor has. NULL and empty texts are the one
     piece [end_id]. Repeated rows each count; extra columns are left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, Encoder(tokenizer))
+        encoder = _encoder(tokenizer)
         for b in batches:
             for s in slices(b.column(1)):
                 ids, count = encoder.encode_rows(s)
@@ -165,6 +186,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int =
                     b.column(0).take(pa.array(s.first + np.array(doc))), pa.array(start, pa.int64()),
                     pa.array([len(c) // 4 for c in cut], pa.int64()), pa.array(size[doc], pa.int64()), pa.array(cut, pa.binary()),
                 ], ["doc_id", "start", "length", "doc_tokens", "ids"])
+        _rest()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, PIECE)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.components import components
-from vitrine.llm.text import LOWER, Slice, grams, mix, slices
+from vitrine.llm.text import LOWER, Slice, grams, mix, slices, tidy
 from vitrine.session import write_table
 
 RADIUS = 3
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def _half(fp: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +150,7 @@ def fingerprint_links(fps: DataFrame, of: Column | None = None) -> DataFrame:
         keys += [F.when(half.bitwiseAND(F.lit(1 << bit)) == 0, key + F.lit(1 << bit)) for bit in range(32)]
     keyed = fps.select(F.explode(F.array_compact(F.array(*keys))).alias("key"), "fp")
     keyed = keyed.repartition("key").sortWithinPartitions("key")
-    return keyed.mapInArrow(_bucket_links, "of int, u long, v long")
+    return keyed.mapInArrow(tidy(_bucket_links), "of int, u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,7 +323,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, cell_b
     together. Extra columns are left out; an empty table gives an empty table."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("version", F.md5("text"))
     marked = write_table(rows.select("doc_id", "version", "text").mapInArrow(
-        _keys_of(width, BANDS), "doc_id long, version string, keys array<long>, n_words long, fp long"), "keys")
+        tidy(_keys_of(width, BANDS)), "doc_id long, version string, keys array<long>, n_words long, fp long"), "keys")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")).alias("first")
     texts = marked.groupBy("version").agg(first, F.first("keys").alias("keys"), F.max("n_words").alias("n_words"), F.first("fp").alias("fp"))
     worded = texts.where("n_words > 0")
@@ -339,11 +339,11 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, cell_b
     pairs = write_table(shared.join(heads, "key").where("version != head").select(
         F.least("version", "head").alias("a"), F.greatest("version", "head").alias("b")).distinct(), "pairs")
     asked = write_table(pairs.select(F.col("a").alias("version")).union(pairs.select("b")).distinct(), "asked")
-    shingles = join_ids(rows.select("version", "text"), asked, ["version"], "left_semi").mapInArrow(_shingles_of(width), "version string, shingles binary")
+    shingles = join_ids(rows.select("version", "text"), asked, ["version"], "left_semi").mapInArrow(tidy(_shingles_of(width)), "version string, shingles binary")
     shingles = write_table(shingles.dropDuplicates(["version"]), "shingles")
     both = (pairs.join(shingles.select(F.col("version").alias("a"), F.col("shingles").alias("one")), "a")
             .join(shingles.select(F.col("version").alias("b"), F.col("shingles").alias("other")), "b").select("a", "b", "one", "other"))
-    roots = components(both.mapInArrow(_alike(similarity), "a string, b string"), "a", "b")
+    roots = components(both.mapInArrow(tidy(_alike(similarity)), "a string, b string"), "a", "b")
     more = write_table(_part_links(shared, roots, shingles, similarity, cell_bytes), "more")
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "a", "b")

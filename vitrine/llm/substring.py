@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.text import Slice, grams, mix, slices
+from vitrine.llm.text import Slice, grams, mix, slices, tidy
 
 WINDOW = 13
 GRAM = 5
@@ -233,15 +233,15 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, version, first, mask): the windows of ``docs`` (doc_id, text, version) that also start in
     a document with a smaller doc_id. Bit i of ``mask`` stands for the window at word ``first`` + i."""
     seeds = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(
-        _seeds(window), "h long, doc_id long, at int")
+        tidy(_seeds(window)), "h long, doc_id long, at int")
     by_anchor = Window.partitionBy("h")
     shared = (seeds.select("doc_id", "at", (F.min("doc_id").over(by_anchor) < F.max("doc_id").over(by_anchor)).alias("both"))
               .where("both").groupBy("doc_id").agg(F.collect_list("at").alias("seeds")))
     # a left join, as in remove_repeats: one exchange of the texts serves both
     around = docs.join(shared, "doc_id", "left").select("doc_id", "text", "version", "seeds").mapInArrow(
-        _extend(window), "h long, doc_id long, version long, first int, windows binary")
+        tidy(_extend(window)), "h long, doc_id long, version long, first int, windows binary")
     return around.repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(
-        _repeats, "doc_id long, version long, first int, mask int")
+        tidy(_repeats), "doc_id long, version long, first int, mask int")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, layout: bool = False,
@@ -260,4 +260,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, layout: bool = False,
     found = repeated_windows(rows, window).groupBy("doc_id").agg(
         F.collect_list(F.struct("version", "first", "mask")).alias("removals"))
     return rows.join(found, "doc_id", "left").select("doc_id", "text", "version", "removals").mapInArrow(
-        _cut(window, layout), "doc_id long, version long, n_words long, spans array<struct<start:int,length:int>>, kept string")
+        tidy(_cut(window, layout)), "doc_id long, version long, n_words long, spans array<struct<start:int,length:int>>, kept string")
