@@ -83,6 +83,24 @@ def test_record_events_equals_the_fold(spark, block_rows):
         assert ownership.record_events(df.limit(0), spark.createDataFrame([], ownership.FRONTIER)).count() == 0
 
 
+def test_record_events_computes_its_events_once(spark):
+    """And leaves large ids as they are."""
+    rng = random.Random(7)
+    rows = [r for a in range(1, 12) for r in random_events(rng, a, 9)]
+    at = ROW.split(", ").index("id BIGINT")
+    rows = [(*r[:at], (1 << 59) + r[at], *r[at + 1:]) for r in rows]
+    computed = spark.sparkContext.accumulator(0)
+
+    def seen(asset):
+        computed.add(1)
+        return asset
+
+    df = spark.createDataFrame(rows, ROW).withColumn("asset_id", F.udf(seen, "long")("asset_id"))
+    applied = ownership.record_events(df, spark.createDataFrame(random_frontier(rng, range(1, 12, 2)), ownership.FRONTIER), 40)
+    assert {r.id for r in applied.collect()} == {r[at] for r in rows}
+    assert computed.value == len(rows)
+
+
 def test_clean_assets_agree_with_the_rebuild(spark):
     rng = random.Random(5)
     rows = [r for a in range(1, 30) for r in random_events(rng, a, 12)]

@@ -24,7 +24,7 @@ BLOCK_ROWS = 200_000
 LOWEST = np.iinfo(np.int64).min
 STEP = "asset_id long, arrival long, start boolean, slot long, sender string, receiver string, burn boolean"
 STATE = "owner string, since long, burned boolean"
-TAKEN = "asset_id long, arrival long, taken boolean, was_open boolean"
+TAKEN = "taken boolean, was_open boolean"
 
 
 class Runs:
@@ -268,7 +268,7 @@ def _meet(exits: DataFrame, rows: DataFrame, rule: str) -> DataFrame:
     return exits.groupBy("met").cogroup(rows.groupBy("block")).applyInPandas(_lead(rule), POINTER)
 
 
-def _marks(rule: str):
+def _marks(rule: str, columns: list[str]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = _whole(frames)
         if rows is None:
@@ -283,14 +283,13 @@ def _marks(rule: str):
         before[block.next[on]] = block.opened[on]
         if len(entries):
             before[block.entered(entries)] = entries["since"].notna().to_numpy()
-        out = pd.DataFrame({"asset_id": block.rows["asset_id"], "arrival": block.rows["arrival"], "taken": taken, "was_open": before[: block.n] & taken})
-        yield out[~block.start]
+        yield block.rows[columns].assign(taken=taken, was_open=before[: block.n] & taken)[~block.start]
     return run
 
 
-def follow(steps: DataFrame, rule: str = "follow", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(asset_id, arrival, taken, was_open) of the rows of ``steps`` (STEP) that are no start rows. ``was_open``: whether the state that
-    a taken row met had an interval.
+def follow(steps: DataFrame, rule: str = "follow", block_rows: int = BLOCK_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(asset_id, arrival, taken, was_open) of the rows of ``steps`` (STEP) that are no start rows, with the columns ``keep`` of theirs, so
+    that they need not be joined to again. ``was_open``: whether the state that a taken row met had an interval.
 
     Every asset needs one start row: its slot is NULL where nothing is open, its arrival is -1. Other arrivals are not negative and
     differ within an asset; slots of other rows are not NULL. Under ``move`` the rows taken are those that change an
@@ -299,4 +298,6 @@ def follow(steps: DataFrame, rule: str = "follow", block_rows: int = BLOCK_ROWS)
     blocks = durable(steps.repartitionByRange(parts, "asset_id", "arrival").withColumn("block", F.spark_partition_id()))
     entries = _entries(blocks, rule).select("asset_id", "block", F.lit(True).alias("entered"), *[F.col(c).alias("e_" + c) for c in _names(STATE)])
     entries = write_table(entries, "entries")  # a row for a block at most
-    return blocks.join(F.broadcast(entries), ["asset_id", "block"], "left").mapInPandas(_marks(rule), TAKEN)
+    columns = ["asset_id", "arrival", *keep]
+    kinds = ", ".join(f"{c} {blocks.schema[c].dataType.simpleString()}" for c in columns)
+    return blocks.join(F.broadcast(entries), ["asset_id", "block"], "left").mapInPandas(_marks(rule, columns), f"{kinds}, {TAKEN}")

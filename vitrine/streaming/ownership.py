@@ -19,10 +19,10 @@ APPLIED = ("asset_id BIGINT, arrival BIGINT, id BIGINT, slot BIGINT, kind STRING
 FRONTIER = "asset_id BIGINT, open_owner STRING, open_from BIGINT, burned BOOLEAN, owner STRING, owner_slot BIGINT"
 
 
-def _steps(rows: DataFrame, start: Column, slot: Column, sender: Column, receiver: Column, burn: Column) -> DataFrame:
+def _steps(rows: DataFrame, start: Column, slot: Column, sender: Column, receiver: Column, burn: Column, *keep: str) -> DataFrame:
     arrival = F.when(start, F.lit(-1).cast("long")).otherwise(F.col("arrival")) if "arrival" in rows.columns else F.lit(-1).cast("long")
     return rows.select("asset_id", arrival.alias("arrival"), start.alias("start"), slot.alias("slot"), sender.alias("sender"),
-                       receiver.alias("receiver"), burn.alias("burn"))
+                       receiver.alias("receiver"), burn.alias("burn"), *keep)
 
 
 def record_events(events: DataFrame, frontier: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -33,13 +33,19 @@ def record_events(events: DataFrame, frontier: DataFrame, block_rows: int = BLOC
     asset row took the event's owner, or was burned by it."""
     none, no, yes, col = F.lit(None).cast("string"), F.lit(False), F.lit(True), F.col
     public, burn = col("kind").isin(*PUBLIC_KINDS), col("kind") == "burn"
+    # landed once, narrow: what follows reads them more than once, and the range exchange reads its input twice
+    events = write_table(events.select("asset_id", "arrival", "id", "slot", "kind", "from_owner", "to_owner"), "arrived", codec="zstd")
     starts = events.select("asset_id").distinct().join(frontier, "asset_id", "left").withColumn("burned", F.coalesce("burned", no))
-    starts = write_table(starts, "starts")
+    starts = write_table(starts, "starts", codec="zstd")
     first = _steps(starts, yes, F.when(col("open_owner").isNotNull(), col("open_from")), none, col("open_owner"), col("burned"))
-    steps = first.unionByName(_steps(events.where(public), no, col("slot"), col("from_owner"), col("to_owner"), burn))
-    taken = write_table(follow(steps, "follow", block_rows), "taken")
-    judged = events.select("asset_id", "arrival", "id", "slot", "kind", "to_owner").join(taken, ["asset_id", "arrival"], "left")
-    judged = write_table(judged.withColumn("taken", F.coalesce("taken", no)), "judged")
+    steps = _steps(events.where(public), no, col("slot"), col("from_owner"), col("to_owner"), burn, "id", "kind")
+    # what an event is goes through the blocks with it, so that the events are not joined to what became of them; no id is NULL, as pandas would
+    # then make them floats
+    first = first.withColumn("id", F.lit(0).cast("long"))
+    taken = follow(first.unionByName(steps, allowMissingColumns=True), "follow", block_rows, ("id", "slot", "kind", "receiver"))
+    judged = taken.withColumnRenamed("receiver", "to_owner").unionByName(events.where(~public | col("kind").isNull()).drop("from_owner").withColumns(
+        {"taken": no, "was_open": no}))
+    judged = write_table(judged, "judged", codec="zstd")
     standing = starts.where(~col("burned"))
     movable = judged.where(col("taken") & ~burn & col("to_owner").isNotNull()).join(standing.select("asset_id"), "asset_id", "left_semi")
     moves = follow(_steps(standing, yes, col("owner_slot"), none, col("owner"), no).unionByName(
