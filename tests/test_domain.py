@@ -35,6 +35,11 @@ def test_no_event_is_landed(spark):
     assert not got & {"hops", "activity", "ownership_history"}, got
 
 
+def test_no_body_is_landed(spark):
+    got = landed(spark, "price_of", "tx_programs")
+    assert got and "transactions" not in got, got
+
+
 def test_exchanges_of_events_carry_keys_and_not_texts(spark):
     carried = exchanged(Domain(spark, SF).activity())
     assert carried and not any(c & {"signature", "receiver", "from_owner", "to_owner", "details"} for c in carried), carried
