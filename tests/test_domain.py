@@ -36,7 +36,7 @@ def test_no_event_is_landed(spark):
 
 
 def test_no_body_is_landed(spark):
-    got = landed(spark, "price_of", "tx_programs")
+    got = landed(spark, "price_of", "timeline_job_parked", "tx_programs")
     assert got and "transactions" not in got, got
 
 
