@@ -63,3 +63,36 @@ def test_signed_intervals_are_those_joined_to_their_events(spark):
     d = Domain(spark, SF)
     joined = owners_signatures_join(d.ownership_history(), d.activity())
     assert sorted(map(str, d.signed_history().select(*joined.columns).collect())) == sorted(map(str, joined.collect()))
+
+
+def written(spark, name):
+    """The names of all tables that a query writes, on its own."""
+    from pathlib import Path
+
+    from vitrine.session import shared_dir
+    root = Path(shared_dir(spark).removeprefix("file:"), "tables")
+    before = set(root.glob("*/*"))
+    landed(spark, name)
+    return {p.name for p in set(root.glob("*/*")) - before}
+
+
+def test_queries_of_one_pass_write_nothing(spark):
+    for name in ("tx_balances", "nft_unit_gate", "tx_native_deltas", "tx_programs", "venue_first_match", "timeline_job_parked"):
+        assert not written(spark, name), name
+
+
+def test_calls_are_written_and_not_the_facts_they_come_from(spark):
+    for name in ("owner_map_join", "decode_token_events", "price_of", "classify_events", "timeline_job"):
+        got = written(spark, name)
+        assert "calls" in got and not got & {"tx_facts", "facts", "token_facts"}, (name, got)
+
+
+def test_small_orders_leave_the_ledger_parallel(spark):
+    from vitrine.sources.ledger import ledger
+    plan = ledger(Domain(spark, SF))._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert "hashpartitioning(l_orderkey" in plan, plan
+
+
+def test_crawl_stores_no_account_of_all(spark):
+    assert "account_index" not in landed(spark, "crawl_frontier")

@@ -133,6 +133,26 @@ def test_crawl_stops_where_the_chain_is_whole(spark):
         assert decode.crawl_frontier(facts, assets, settled).count() == want
 
 
+def test_crawl_asks_only_about_assets_that_a_round_found_something_of(spark):
+    lone = tx(["p", "other", "Z"], [call("mintTo", account="Z")], [], [balance(2, "other", "x")])
+    facts = write_table(decode.facts(raw(spark, *chain_of_accounts(2), lone)), "facts")
+    assets, asked = spark.createDataFrame([("nft",), ("other",)], "address STRING"), []
+
+    def settled(found):
+        asked.append(sorted({r.address for r in found.collect()}))
+        return found.where("false").select("address")
+    assert decode.crawl_frontier(facts, assets, settled).count() == 4
+    assert asked == [["nft", "other"], ["nft"], ["nft"]]
+
+
+def test_plain_keys_are_no_json(spark):
+    keys = ["111111SYNx", '{"pubkey":"a"}', "p{", '{"other":1}']
+    body = json.dumps({"transaction": {"message": {"accountKeys": keys + [{"pubkey": "b"}], "instructions": []}}, "meta": {}})
+    rows = decode.tx_account_keys(decode.land_transactions(raw(spark, body)))
+    assert rows.first()["keys"] == ["111111SYNx", "a", "p{", '{"other":1}', "b"]
+    assert "contains" in rows._jdf.queryExecution().analyzed().toString().lower()
+
+
 def test_repair_of_drifted_assets(spark):
     bodies = chain_of_accounts(2)
     facts = write_table(decode.facts(raw(spark, *bodies)), "facts")
