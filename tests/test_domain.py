@@ -96,3 +96,8 @@ def test_small_orders_leave_the_ledger_parallel(spark):
 
 def test_crawl_stores_no_account_of_all(spark):
     assert "account_index" not in landed(spark, "crawl_frontier")
+
+
+def test_detail_does_not_join_signatures_by_event(spark):
+    carried = exchanged(registry.QUERIES["nft_detail"](spark, SF))
+    assert carried and not any({"id", "signature"} <= c or "_opened_by" in c for c in carried), carried
